@@ -8,12 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tamis.llm.language import op5_hyperdimensional_language
 from tamis.llm.packing import op6_cost_packing
+from tamis.llm.secrets import op7_randomness_secrets
+from tamis.llm.simhash import op9_simhash_pivots
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op5_hyperdimensional_language,
         op6_cost_packing,
+        op7_randomness_secrets,
+        op9_simhash_pivots,
     )
 }
 
