@@ -13,6 +13,7 @@ stream by, so memory is bounded by a group, however many rows a partition has.
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
 
@@ -29,8 +30,6 @@ END_ID = 0
 #: Relative cost of an id in the feed-forward part and of a pair of ids in attention.
 LINEAR, QUADRATIC = 1.0, 1.0 / 2048
 GROUP_PIECES = 2048
-#: Words whose ids a worker remembers; the memory is emptied when it is full.
-CACHE_WORDS = 300_000
 #: The byte-level vocabulary's own split of a text into words (a fixed value of the format).
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -38,50 +37,44 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 SCHEMA_IDS = SCHEMA + ", ids array<int>"
 
 
-class WordTokenizer:
+def byte_symbols() -> dict[str, int]:
+    """The printable stand-ins of the 256 bytes in a byte-level vocabulary."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
+
+
+class ByteTokenizer:
     """Ids of a byte-level BPE file, equal to ``Tokenizer.encode(text, add_special_tokens=False)``.
 
-    Byte-level BPE never merges over the borders of its words, so the ids of a word are
-    remembered and a text costs one lookup a word.  Special tokens' strings in a text are
-    cut out first, as the library does.
+    The file's vocabulary is handed to a faster encoder of the same algorithm, whose ranks
+    are ids; that holds where ids follow the order of merges, which is checked on loading.
+    Special tokens' strings in a text are taken as such, as the library does.
     """
 
-    def __init__(self, path: str, cache_words: int = CACHE_WORDS):
-        import regex
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.special = {t.content: np.array([i], "<u4").tobytes() for i, t in self.tokenizer.get_added_tokens_decoder().items()}
-        self.words = regex.compile(SPLIT)
-        self.cache: dict[str, bytes] = {}
-        self.cache_words = cache_words
-        self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+    def __init__(self, path: str):
+        import tiktoken
 
-    def _plain(self, text: str) -> bytes:
-        cache, words = self.cache, self.words.findall(text)
-        missing = [w for w in set(words) if w not in cache]
-        if missing:
-            if len(cache) + len(missing) > self.cache_words:
-                cache.clear()
-                missing = list(set(words))
-            for w, e in zip(missing, self.tokenizer.encode_batch(missing, add_special_tokens=False), strict=True):
-                cache[w] = np.array(e.ids, "<u4").tobytes()
-        return b"".join(map(cache.__getitem__, words))
+        with open(path, encoding="utf-8") as f:
+            told = json.load(f)
+        symbols, special = byte_symbols(), {t["content"]: t["id"] for t in told["added_tokens"]}
+        ranks = {bytes(map(symbols.__getitem__, t)): i for t, i in told["model"]["vocab"].items() if t not in special}
+        merges = [m.split(" ") if isinstance(m, str) else m for m in told["model"]["merges"]]
+        if [told["model"]["vocab"]["".join(m)] for m in merges] != list(range(256, 256 + len(merges))):
+            raise ValueError(f"the ids of {path} do not follow its merges")
+        self.coder = tiktoken.Encoding("bytes", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens=special)
 
-    def encode(self, text: str) -> bytes:
-        """Little-endian unsigned 32-bit ids."""
-        if self.cut is None or not any(s in text for s in self.special):
-            return self._plain(text)
-        return b"".join(self.special.get(part) or self._plain(part) for part in self.cut.split(text) if part)
+    def encode(self, text: str) -> np.ndarray:
+        return self.coder.encode_to_numpy(text, allowed_special="all")
 
 
-_LOADED: dict[str, WordTokenizer] = {}
+_LOADED: dict[str, ByteTokenizer] = {}
 
 
-def tokenizer(path: str) -> WordTokenizer:
+def tokenizer(path: str) -> ByteTokenizer:
     """One for each worker and file."""
     if path not in _LOADED:
-        _LOADED[path] = WordTokenizer(path)
+        _LOADED[path] = ByteTokenizer(path)
     return _LOADED[path]
 
 
@@ -161,7 +154,7 @@ def pack(docs: DataFrame, tokenizer_path: str, seq_len: int = SEQ_LEN, group_pie
 
         for b in batches:
             for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                ids = coder.encode(text.as_py() or "") + end
+                ids = coder.encode(text.as_py() or "").tobytes() + end
                 total = len(ids) // 4
                 whole = total - total % seq_len
                 for start in range(0, whole, seq_len):
