@@ -10,15 +10,19 @@ from tamis.llm.language import op5_hyperdimensional_language
 from tamis.llm.packing import op6_cost_packing
 from tamis.llm.secrets import op7_randomness_secrets
 from tamis.llm.simhash import op9_simhash_pivots
+from tamis.llm.sitestyle import op8_site_style_trees
+from tamis.llm.warc import OP4_SQL, op4_warc_segments
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op4_warc_segments,
         op5_hyperdimensional_language,
         op6_cost_packing,
         op7_randomness_secrets,
+        op8_site_style_trees,
         op9_simhash_pivots,
     )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op4_warc_segments": OP4_SQL}

@@ -67,6 +67,10 @@ CUT_WORDS = frozenset(
     "signup login share sharing social related recommended comment comments commentlist reply replies respond disqus discussion "
     "popup modal overlay widget toolbar pagination pager disclaimer copyright".split()
 )
+#: An article element with such a name is a reader's or an advertiser's.
+CUT_ARTICLES = frozenset("ad ads advert advertisement sponsored promo comment comments reply replies related".split())
+#: Starts of names that tell of something else on the page.
+NOT_ITSELF = ("no-", "no_", "has-", "has_", "with-", "with_", "without-", "without_")
 HEADER_WORDS = frozenset("header masthead topbar".split())
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
@@ -126,8 +130,10 @@ def blocks(page: str | None) -> tuple[list[tuple[str, str]], dict[str, list[str]
             continue
         _, cut, branch, level = stack[-1]
         marks = _attributes(rest) if "=" in rest else {}
-        words = {w.lower() for k in ("class", "id") for w in WORD.findall(marks.get(k, ""))}
-        if not cut and tag not in ("html", "body", "article", "main"):
+        words = {w.lower() for k in ("class", "id") for x in marks.get(k, "").split() if not x.lower().startswith(NOT_ITSELF) for w in WORD.findall(x)}
+        if tag == "article":
+            cut = cut or bool(words & CUT_ARTICLES)
+        elif not cut and tag not in ("html", "body", "main"):
             cut = tag in CUT_TAGS or marks.get("role", "").lower() in CUT_ROLES or bool(words & CUT_WORDS) or (level == 0 and (tag == "header" or bool(words & HEADER_WORDS)))
         level = max(level, 2 if tag == "article" else 1 if tag == "main" or marks.get("role", "").lower() == "main" else 0)
         if level and not cut:
