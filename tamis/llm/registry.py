@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tamis.llm.language import op5_hyperdimensional_language
+from tamis.llm.licenses import OP1_SQL, op1_license_diagonals
 from tamis.llm.packing import op6_cost_packing
 from tamis.llm.secrets import op7_randomness_secrets
 from tamis.llm.simhash import op9_simhash_pivots
@@ -16,6 +17,7 @@ from tamis.llm.warc import OP4_SQL, op4_warc_segments
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_license_diagonals,
         op4_warc_segments,
         op5_hyperdimensional_language,
         op6_cost_packing,
@@ -25,4 +27,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {"op4_warc_segments": OP4_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_license_diagonals": OP1_SQL, "op4_warc_segments": OP4_SQL}
