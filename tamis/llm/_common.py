@@ -64,10 +64,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def arrow_map(df: DataFrame, function: Callable, schema: str) -> DataFrame:
-    """``mapInArrow`` with this package importable in the workers."""
-    environment = df.sparkSession.sparkContext.environment
+def importable(spark: SparkSession) -> None:
+    """Lets the workers import this package from where the driver has it."""
+    environment = spark.sparkContext.environment
     paths = environment.get("PYTHONPATH", "").split(os.pathsep)
     if ROOT not in paths:
         environment["PYTHONPATH"] = os.pathsep.join([ROOT, *filter(None, paths)])
+
+
+def arrow_map(df: DataFrame, function: Callable, schema: str) -> DataFrame:
+    """``mapInArrow`` with this package importable in the workers."""
+    importable(df.sparkSession)
     return df.mapInArrow(function, schema)
