@@ -31,6 +31,9 @@ CLASSES = 128
 #: Letters of a text that are vectorised at once; longer texts go in several parts.
 PART = 1 << 20
 UNKNOWN = "und"
+#: Texts of so many letters are rejected under such a score.
+MIN_LETTERS = 400
+MIN_SCORE = 0.1
 
 _STATE: dict[str, np.ndarray] = {}
 
@@ -155,37 +158,66 @@ def cosines(vectors: np.ndarray, prototypes: np.ndarray) -> np.ndarray:
     return vectors @ prototypes.T / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
 
 
+def _judge(trigrams: Trigrams, texts: list[str | None], langs: list[str], prototypes: np.ndarray) -> tuple[list[str], list[float], list[int]]:
+    """Language, score and number of letters of each text."""
+    texts = [t or "" for t in texts]
+    pred: list[str] = []
+    score: list[float] = []
+    count = [int(np.count_nonzero(letter_classes()[np.frombuffer(t.encode("utf-32-le", "surrogatepass"), "<u4")])) for t in texts]
+    for part in _groups(texts):
+        near = cosines(trigrams.bundle(texts[part]), prototypes) if langs else np.zeros((part.stop - part.start, 1))
+        for i, x, letters in zip(near.argmax(1).tolist(), near.max(1).tolist(), count[part], strict=True):
+            ok = letters and langs
+            pred.append(langs[i] if ok else UNKNOWN)
+            score.append(min(1.0, max(0.0, x)) if ok else 0.0)
+    return pred, score, count
+
+
 def predict(docs: DataFrame, langs: list[str], prototypes: np.ndarray, keep: list[str] | None = None) -> DataFrame:
-    """Each row's ``keep`` columns with lang_pred and score, the largest cosine between 0 and 1.
+    """Each row's ``keep`` columns (doc_id, if not told) with lang_pred and score, the largest cosine between 0 and 1.
 
     A text that is null or has no letter gets ``und`` and 0, as does every text when there
-    are no languages. Ties go to the language first in sorted order.
+    are no languages. Ties go to the language first in sorted order. Repeated rows stay;
+    an empty table gives no rows; columns that are not kept are ignored.
     """
     keep = ["doc_id"] if keep is None else keep
-    source = docs.select(*keep, F.col("text").cast("string").alias("__text"))
-    at = len(keep)
+    source = docs.select(F.col("text").cast("string").alias("text"), *keep)
     prototypes = prototypes.astype(np.float32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trigrams = Trigrams(prototypes.shape[1] if len(langs) else 8)
+        trigrams = Trigrams(prototypes.shape[1] if langs else 8)
         for b in batches:
-            texts = [t or "" for t in b.column(at).to_pylist()]
-            pred, score = [], []
-            for part in _groups(texts):
-                some = texts[part]
-                vectors = trigrams.bundle(some)
-                letters = [any(map(str.isalpha, t)) for t in some]
-                near = cosines(vectors, prototypes) if len(langs) else np.zeros((len(some), 1))
-                for i, x in zip(near.argmax(1).tolist(), near.max(1).tolist(), strict=True):
-                    ok = letters[len(pred) - part.start] and bool(langs)
-                    pred.append(langs[i] if ok else UNKNOWN)
-                    score.append(min(1.0, max(0.0, x)) if ok else 0.0)
-            yield pa.RecordBatch.from_arrays([*b.columns[:at], pa.array(pred, pa.string()), pa.array(score, pa.float64())], [*b.schema.names[:at], "lang_pred", "score"])
-
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:at])
+            pred, score, _ = _judge(trigrams, b.column(0).to_pylist(), langs, prototypes)
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(pred, pa.string()), pa.array(score, pa.float64())], [*b.schema.names[1:], "lang_pred", "score"])
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[1:])
     return arrow_map(source, run, f"{kinds}, lang_pred string, score double")
 
 
+def keep_identified(docs: DataFrame, langs: list[str], prototypes: np.ndarray, min_score: float = MIN_SCORE, min_letters: int = MIN_LETTERS) -> DataFrame:
+    """The rows of ``docs`` whose language is identified, with all their columns; a null ``lang`` becomes the predicted one.
+
+    Rejected are texts that are null or without a letter, and those of ``min_letters``
+    letters or more with a score under ``min_score``. Shorter texts are too little to reject.
+    """
+    names = docs.columns
+    at, lang = names.index("text"), names.index("lang") if "lang" in names else None
+    prototypes = prototypes.astype(np.float32)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trigrams = Trigrams(prototypes.shape[1] if langs else 8)
+        for b in batches:
+            pred, score, letters = _judge(trigrams, b.column(at).to_pylist(), langs, prototypes)
+            columns = list(b.columns)
+            if lang is not None and columns[lang].null_count:
+                told = [x if x is not None or p == UNKNOWN else p for x, p in zip(columns[lang].to_pylist(), pred, strict=True)]
+                columns[lang] = pa.array(told, columns[lang].type)
+            stays = [n > 0 and (not langs or n < min_letters or s >= min_score) for n, s in zip(letters, score, strict=True)]
+            yield pa.RecordBatch.from_arrays(columns, names).filter(pa.array(stays, pa.bool_()))
+
+    return arrow_map(docs, run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields))
+
+
 def held_out() -> F.Column:
     """True for the documents that nothing is learned from: crc32 of doc_id as text, modulo 3, is 1."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))

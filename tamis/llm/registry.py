@@ -11,6 +11,7 @@ from tamis.llm.language import op5_hyperdimensional_language
 from tamis.llm.licenses import OP1_SQL, op1_license_diagonals
 from tamis.llm.neighbours import op3_collision_counting
 from tamis.llm.packing import op6_cost_packing
+from tamis.llm.pieces import op2_nbest_pieces
 from tamis.llm.secrets import op7_randomness_secrets
 from tamis.llm.simhash import op9_simhash_pivots
 from tamis.llm.sitestyle import op8_site_style_trees
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_license_diagonals,
+        op2_nbest_pieces,
         op3_collision_counting,
         op4_warc_segments,
         op5_hyperdimensional_language,

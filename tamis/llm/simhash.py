@@ -71,14 +71,15 @@ def fingerprint(text: str | None, words: int = SHINGLE_WORDS) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
-    """(doc_id, fp) of each row; fp holds the 64 bits as a signed long. A null text counts as empty."""
+    """(doc_id, text_hash, fp) of each row; fp holds the 64 bits as a signed long. A null text counts as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.fromiter((fingerprint(t.as_py(), words) for t in b.column(1)), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            fps = np.fromiter((fingerprint(t.as_py(), words) for t in b.column(2)), np.uint64, b.num_rows)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps.view(np.int64))], ["doc_id", "text_hash", "fp"])
 
-    return arrow_map(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id long, fp long")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return arrow_map(docs.select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("text_hash"), text.alias("text")), run, "doc_id long, text_hash long, fp long")
 
 
 def distances(fps: np.ndarray) -> np.ndarray:
@@ -174,7 +175,7 @@ def links(classes: DataFrame, max_bits: int = MAX_BITS, bucket_cap: int = BUCKET
 
 
 def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS, bucket_cap: int = BUCKET_CAP) -> DataFrame:
-    """(doc_id, fp, component_id) of each row of ``docs`` (doc_id, text).
+    """(doc_id, text_hash, fp, component_id) of each row of ``docs`` (doc_id, text).
 
     component_id is the smallest doc_id reachable over links, the row's own included.
     Repeated rows stay, each with the same component. A row with a null doc_id is linked
@@ -189,7 +190,26 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, max_bits: int =
     least = members.groupBy("component").agg(F.min("least").alias("other"))
     linked = written(members.join(least, "component").select("fp", "other"), "linked")
     ids = written(classes.join(linked, "fp", "left").select("fp", F.coalesce("other", "least").alias("component_id")), "ids")
-    return fps.join(ids, "fp", "left").select("doc_id", "fp", "component_id")
+    return fps.join(ids, "fp", "left").select("doc_id", "text_hash", "fp", "component_id")
+
+
+def keep_one(docs: DataFrame, words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
+    """One row of each component of ``docs``, with all its columns: that of the smallest doc_id.
+
+    Rows of that doc_id with several texts leave the one with the smallest hash, and of
+    repeated rows one stays. Rows with a null doc_id all stay.
+    """
+    every = written(near_duplicates(docs, words, max_bits).select("doc_id", "text_hash", "component_id").where("doc_id is not null"), "components")
+    heads = every.where("doc_id = component_id").groupBy("component_id").agg(F.min("text_hash").alias("head"))
+    marked = written(every.join(heads, "component_id", "left").select("doc_id", "text_hash", F.coalesce((F.col("doc_id") == F.col("component_id")) & (F.col("text_hash") == F.col("head")), F.lit(False)).alias("stays")), "marked")
+    key = [F.col("doc_id").alias("key_id"), F.col("text_hash").alias("key_hash")]
+    gone = written(marked.where(~F.col("stays")).select(*key).distinct(), "gone")
+    twice = written(marked.where("stays").groupBy("doc_id", "text_hash").count().where("count > 1").select(*key), "twice")
+    same = lambda other: (docs["doc_id"] == other["key_id"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == other["key_hash"])
+    kept = docs.join(gone, same(gone), "left_anti")
+    if twice.isEmpty():
+        return kept
+    return kept.join(twice, same(twice), "left_anti").union(kept.join(twice, same(twice), "left_semi").dropDuplicates(["doc_id"]))
 
 
 def op9_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
