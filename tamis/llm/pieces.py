@@ -20,10 +20,11 @@ Scale: one narrow pass over the texts.
 
 from __future__ import annotations
 
-import heapq
 import math
 import re
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,7 +38,7 @@ SPACE = "▁"
 N_BEST = 4
 BYTE_PENALTY = 4.0
 #: Distinct parts that a worker remembers; the memory is emptied when it is full.
-CACHE_PARTS = 300_000
+CACHE_PARTS = 600_000
 PART = re.compile(f"{SPACE}*[^{SPACE}]*")
 #: Longest part that is searched whole; the lattice of a longer one is cut there, which keeps memory bounded.
 PART_CHARS = 4096
@@ -64,11 +65,17 @@ class Pieces:
         for i in self.bytes.values():
             self.score[i] = low
         self.ids = {self.text[i]: i for i in plain}
-        self.longest = max(map(len, self.ids))
         if any(SPACE in t.lstrip(SPACE) for t in self.ids):
             raise ValueError("a piece has a space mark after another character")
-        # every start of a piece, with the piece's id, or -1 where it is none itself
-        self.starts = {t[:k]: -1 for t in self.ids for k in range(1, len(t))} | self.ids
+        #: Neighbouring characters inside pieces.
+        self.pairs = {t[i : i + 2] for t in self.ids for i in range(len(t) - 1)}
+        # a trie: each node is (children by character, id or -1, score)
+        self.trie: tuple[dict, int, float] = ({}, -1, 0.0)
+        for t, i in sorted(self.ids.items()):  # a piece comes after all its starts
+            children = self.trie[0]
+            for c in t[:-1]:
+                children = children.setdefault(c, ({}, -1, 0.0))[0]
+            children[t[-1]] = ({}, i, self.score[i])
         self.raw = [b""] * size
         for i in plain:
             self.raw[i] = self.text[i].replace(SPACE, " ").encode("utf-8", "surrogatepass")
@@ -77,24 +84,24 @@ class Pieces:
 
     def lattice(self, part: str) -> tuple[list[list[tuple[int, float, int | tuple[int, ...]]]], list[float]]:
         """For each end place the (start, score, id or byte ids) of what ends there, and the forward Viterbi scores."""
-        starts, score, n = self.starts, self.score, len(part)
+        root, n = self.trie[0], len(part)
         into: list[list] = [[] for _ in range(n + 1)]
         best = [0.0] + [-math.inf] * n
         for start in range(n):
-            so_far, single = best[start], False
-            for end in range(start + 1, min(n, start + self.longest) + 1):
-                i = starts.get(part[start:end])
-                if i is None:
+            so_far, end, children = best[start], start, root
+            for c in part[start:]:
+                node = children.get(c)
+                if node is None:
                     break
+                children, i, s = node
+                end += 1
                 if i >= 0:
-                    s = score[i]
                     into[end].append((start, s, i))
                     if so_far + s > best[end]:
                         best[end] = so_far + s
-                    single |= end == start + 1
-            if not single:
+            if not into[start + 1] or into[start + 1][-1][0] != start:
                 ids = tuple(self.bytes[x] for x in part[start].encode("utf-8", "surrogatepass"))
-                s = score[ids[0]] * len(ids)
+                s = self.score[ids[0]] * len(ids)
                 into[start + 1].append((start, s, ids))
                 best[start + 1] = max(best[start + 1], so_far + s)
         return into, best
@@ -132,6 +139,10 @@ class Pieces:
         return out
 
 
+if sys.byteorder != "little" or array("I").itemsize != 4:
+    raise ImportError("ids are kept as little-endian 32-bit arrays")
+
+
 class Coder:
     def __init__(self, path: str, n: int = N_BEST, cache_parts: int = CACHE_PARTS):
         self.pieces, self.n, self.cache, self.cache_parts = Pieces(path), n, {}, cache_parts
@@ -140,8 +151,17 @@ class Coder:
         """Score and ids of the best, and how far behind the second is."""
         if len(self.cache) >= self.cache_parts:
             self.cache.clear()
-        found = self.pieces.n_best(part, 2)
-        got = self.cache[part] = (found[0][0], np.array(found[0][1], "<u4").tobytes(), found[0][0] - found[1][0] if len(found) > 1 else math.inf)
+        pairs = self.pieces.pairs
+        cuts = [i for i in range(1, len(part)) if part[i - 1 : i + 1] not in pairs]
+        if cuts:
+            # no piece holds these pairs of characters, so the lattice falls apart between them
+            get, made = self.cache.get, self._part
+            some = [get(p) or made(p) for p in (part[i:j] for i, j in zip([0, *cuts], [*cuts, len(part)], strict=True))]
+            got = (sum(x[0] for x in some), b"".join([x[1] for x in some]), min(x[2] for x in some))
+        else:
+            found = self.pieces.n_best(part, 2)
+            got = (found[0][0], array("I", found[0][1]).tobytes(), found[0][0] - found[1][0] if len(found) > 1 else math.inf)
+        self.cache[part] = got
         return got
 
     def parts(self, text: str) -> list[str]:
@@ -157,9 +177,12 @@ class Coder:
         found = [get(p) or made(p) for p in parts]
         best = math.fsum(p[0] for p in found)
         # only the n - 1 parts with the nearest second can differ in the n best
-        loose = heapq.nsmallest(self.n - 1, ((p[2], i) for i, p in enumerate(found) if p[2] < math.inf))
+        gaps = np.array([p[2] for p in found])
+        loose = np.argsort(gaps, kind="stable")[: self.n - 1] if len(gaps) < 64 else np.argpartition(gaps, self.n - 1)[: self.n - 1]
         combos: list[tuple[float, dict[int, list[int]]]] = [(0.0, {})]
-        for _, i in loose:
+        for i in sorted(loose.tolist()):
+            if gaps[i] == math.inf:
+                continue
             first, *others = self.pieces.n_best(parts[i], self.n)
             merged = combos + [(loss + first[0] - s, {**other, i: ids}) for loss, other in combos for s, ids in others]
             combos = sorted(merged, key=lambda x: x[0])[: self.n]
