@@ -7,7 +7,6 @@ import time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tamis.functions import hashing as H
 from tamis.functions import sizing as S
@@ -41,7 +40,7 @@ def false_negatives(f: catalog.Filter, present: DataFrame, key: str = "key") ->
     return f.might_contain(present, key).agg(F.coalesce(F.sum((~F.col("maybe")).cast("long")), F.lit(0)).alias("false_negatives"))
 
 
-REPORT = T.StructType.fromDDL(
+REPORT = (
     "id int, name string, n long, nanos_per_add double, nanos_per_remove double, nanos_per_find map<int,double>, rate double, bits_per_item double, optimal_bits double, wasted_percent double, add_and_3_find double"
 )
 

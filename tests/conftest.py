@@ -1,9 +1,12 @@
 from pathlib import Path
 
 import pytest
+from hypothesis import settings
 from pyspark.sql import SparkSession
 
 DATA = Path("/root/testdata")
+settings.register_profile("own", deadline=None)
+settings.load_profile("own")
 
 
 @pytest.fixture(scope="session")
