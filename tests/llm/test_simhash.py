@@ -95,8 +95,7 @@ def test_rows(edge_docs, no_docs):
 def test_one_of_each_group_stays(edge_docs, no_docs):
     kept = simhash.keep_one(edge_docs)
     assert kept.columns == edge_docs.columns
-    got = sorted((str(r.doc_id), r.text) for r in kept.select("doc_id", "text").collect() if r.doc_id != 5 or True)
-    by = [(i, t) for i, t in got if t is None or len(t) < 1000]
+    by = [(str(r.doc_id), r.text) for r in kept.select("doc_id", "text").collect()]
     # 2 (null), 3 and the null-id row are one group of empty texts; rows without an id stay
     assert ("2", None) in by and ("3", "") not in by and by.count(("1", "Released under the MIT License.")) == 1
     assert sum(i == "None" for i, _ in by) == 2 and sum(i == "7" for i, _ in by) == 2
