@@ -166,6 +166,10 @@ def dense(words: DataFrame, s: BloomSpec) -> DataFrame:
 
 def _side(words: DataFrame, s: BloomSpec, limit: int) -> DataFrame:
     side = words.select(F.col("block").alias("__block"), *(F.col(w).alias(f"__{w}") for w in s.words))
+    # one row that no key meets: were the filter empty, the planner would drop the join and write
+    # the whole derivation of a key's masks out as a filter on the scan
+    none = words.sparkSession.range(1).select(F.lit(-1).cast("long").alias("__block"), *(F.lit(0).cast("long").alias(f"__{w}") for w in s.words))
+    side = side.union(none)
     return F.broadcast(side) if s.bytes <= limit else side
 
 
