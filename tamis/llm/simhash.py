@@ -175,9 +175,10 @@ def links(classes: DataFrame, max_bits: int = MAX_BITS, bucket_cap: int = BUCKET
 
 
 def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS, bucket_cap: int = BUCKET_CAP) -> DataFrame:
-    """(doc_id, text_hash, fp, component_id) of each row of ``docs`` (doc_id, text).
+    """(doc_id, text_hash, fp, component_id, root) of each row of ``docs`` (doc_id, text).
 
-    component_id is the smallest doc_id reachable over links, the row's own included.
+    component_id is the smallest doc_id reachable over links, the row's own included, and
+    root the smallest fingerprint; root tells components of rows with one doc_id apart.
     Repeated rows stay, each with the same component. A row with a null doc_id is linked
     by its text, and has a null component_id only if nothing else is in its component.
     An empty table gives no rows; other columns are ignored.
@@ -188,9 +189,9 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, max_bits: int =
     members = joined.join(classes, F.col("vertex") == F.col("fp")).select("fp", "component", "least")
     members = written(members, "members")
     least = members.groupBy("component").agg(F.min("least").alias("other"))
-    linked = written(members.join(least, "component").select("fp", "other"), "linked")
-    ids = written(classes.join(linked, "fp", "left").select("fp", F.coalesce("other", "least").alias("component_id")), "ids")
-    return fps.join(ids, "fp", "left").select("doc_id", "text_hash", "fp", "component_id")
+    linked = written(members.join(least, "component").select("fp", "component", "other"), "linked")
+    ids = classes.join(linked, "fp", "left").select("fp", F.coalesce("other", "least").alias("component_id"), F.coalesce("component", "fp").alias("root"))
+    return fps.join(written(ids, "ids"), "fp", "left").select("doc_id", "text_hash", "fp", "component_id", "root")
 
 
 def keep_one(docs: DataFrame, words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
@@ -199,9 +200,10 @@ def keep_one(docs: DataFrame, words: int = SHINGLE_WORDS, max_bits: int = MAX_BI
     Rows of that doc_id with several texts leave the one with the smallest hash, and of
     repeated rows one stays. Rows with a null doc_id all stay.
     """
-    every = written(near_duplicates(docs, words, max_bits).select("doc_id", "text_hash", "component_id").where("doc_id is not null"), "components")
-    heads = every.where("doc_id = component_id").groupBy("component_id").agg(F.min("text_hash").alias("head"))
-    marked = written(every.join(heads, "component_id", "left").select("doc_id", "text_hash", F.coalesce((F.col("doc_id") == F.col("component_id")) & (F.col("text_hash") == F.col("head")), F.lit(False)).alias("stays")), "marked")
+    every = written(near_duplicates(docs, words, max_bits).select("doc_id", "text_hash", "root").where("doc_id is not null"), "components")
+    row = F.struct("doc_id", "text_hash")
+    heads = every.groupBy("root").agg(F.min(row).alias("head"))
+    marked = written(every.join(heads, "root").select("doc_id", "text_hash", (row == F.col("head")).alias("stays")), "marked")
     key = [F.col("doc_id").alias("key_id"), F.col("text_hash").alias("key_hash")]
     gone = written(marked.where(~F.col("stays")).select(*key).distinct(), "gone")
     twice = written(marked.where("stays").groupBy("doc_id", "text_hash").count().where("count > 1").select(*key), "twice")
