@@ -168,7 +168,7 @@ class Algorithm:
             return S.ribbon_rate(p["columns"])
         if self.kind == "classic":
             return S.bloom_rate(1, p["bits_per_key"], S.bloom_probes(p["bits_per_key"]))
-        if self.kind == "cuckoo":
+        if self.family == "sharded" and self.kind == "cuckoo":
             return S.cuckoo_rate(p["bits"])
         return 16 / 2.0**12 if self.family == "gcs" else None
 
