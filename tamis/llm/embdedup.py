@@ -5,8 +5,10 @@ class has a key of 64 concatenated random sign hashes; classes are put in order
 and key, and each is compared with the next ``WINDOW`` ones.  Pairs with a cosine of
 ``min_cosine`` or more, in double precision, are united across all passes.  Inside the
 components so found every pair is then counted exactly, so that a group larger than the
-window loses no link: a component is cut into tiles of about ``TILE`` classes by a hash,
-and each pair of tiles is one bounded group that returns counts, not pairs.
+window loses no link.  In a component of more than ``TILE`` classes, those within half the
+linking angle of its centre are its core: all their pairs link, which is a count and no
+comparison.  What lies outside the core is compared with everything in tiles of about
+``TILE`` classes by a hash; each pair of tiles is one bounded group that returns counts.
 
 Scale: a pass is a range exchange of the classes (all passes are one job); keys end in the
 class number, so a hot label or group spreads over many partitions.  Windows end at a
@@ -120,19 +122,67 @@ def _count(key: tuple, rows: pd.DataFrame, min_cosine: float) -> pd.DataFrame:
     return pd.DataFrame({"id": np.concatenate(ids), "links": np.concatenate(links)})
 
 
+def _centres(big: DataFrame) -> DataFrame:
+    """(component, size, centre): the sum of each component's unit vectors, added up in each task first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            component, size, weight = (b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3))
+            out: list[tuple] = []
+            for n in np.unique(size).tolist():
+                some = np.flatnonzero(size == n)
+                u = unit(_matrix(b.column(3).take(pa.array(some)))) * weight[some][:, None]
+                for c in np.unique(component[some]).tolist():
+                    total = u[component[some] == c].sum(0)
+                    out += [(c, n, i, x) for i, x in enumerate(total.tolist())]
+            columns = list(zip(*out, strict=True)) if out else [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, [pa.int64(), pa.int32(), pa.int32(), pa.float64()], strict=True)], ["component", "size", "pos", "value"])
+
+    sums = arrow_map(big.select("component", "size", "weight", "vector"), run, "component long, size int, pos int, value double").groupBy("component", "size", "pos").agg(F.sum("value").alias("value"))
+    return sums.groupBy("component", "size").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "value"))), lambda x: x["value"]).alias("centre"))
+
+
+def _with_core(big: DataFrame, min_cosine: float) -> DataFrame:
+    """``core``: within half the linking angle of the component's centre. By the triangle inequality of angles all pairs of the core link."""
+    near = math.cos(max(0.0, math.acos(min_cosine) / 2 - 1e-7))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            size, core = b.column(4).to_numpy(zero_copy_only=False), np.zeros(b.num_rows, bool)
+            for n in np.unique(size).tolist():
+                some = np.flatnonzero(size == n)
+                u, c = (_matrix(b.column(i).take(pa.array(some))) for i in (2, 5))
+                length = np.sqrt((c * c).sum(1))
+                core[some] = (unit(u) * c).sum(1) >= near * length
+                core[some[length == 0]] = False
+            yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(core)], ["id", "weight", "vector", "component", "size", "core"])
+
+    joined = big.join(_centres(big), ["component", "size"]).select("id", "weight", "vector", "component", "size", "centre")
+    return arrow_map(joined, run, "id long, weight long, vector array<double>, component long, size int, core boolean")
+
+
 def _exact_links(classes: DataFrame, found: DataFrame, min_cosine: float, tile: int) -> DataFrame:
     """(id, links): for each class in a component, the vectors of other classes in it that it links with."""
     sizes = written(found.groupBy("component").count(), "sizes")
-    small = sizes.where(F.col("count") <= tile).agg(F.sum("count")).first()[0] or 0
-    buckets = max(1, math.ceil(small / SMALL_ROWS))
-    tiles = F.ceil(F.col("count") / tile).cast("int")
-    rows = classes.join(found.join(sizes, "component"), F.col("id") == F.col("vertex"))
-    rows = rows.select("id", "weight", "vector", F.size("vector").alias("size"), "component", tiles.alias("tiles"), F.pmod(F.xxhash64("id"), tiles).cast("int").alias("tile"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    of = F.when(F.col("tiles") > 1, F.xxhash64("component")).otherwise(F.pmod(F.xxhash64("component"), F.lit(buckets)))
-    rows = rows.select("id", "weight", "vector", "size", "component", "tile", of.alias("group"), F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"))
     importable(classes.sparkSession)
-    counted = rows.groupBy("group", "low", "high").applyInPandas(lambda key, x: _count(key, x, min_cosine), "id long, links long")
+    count = lambda rows: rows.groupBy("group", "low", "high").applyInPandas(lambda key, x: _count(key, x, min_cosine), "id long, links long")
+    few = sizes.where(F.col("count") <= tile).agg(F.sum("count")).first()[0] or 0
+    rows = classes.join(found.join(sizes, "component"), F.col("id") == F.col("vertex")).select("id", "weight", "vector", F.size("vector").alias("size"), "component", "count")
+    zero = F.lit(0)
+    counted = count(rows.where(F.col("count") <= tile).select("id", "weight", "vector", "size", "component", zero.alias("tile"), F.pmod(F.xxhash64("component"), F.lit(max(1, math.ceil(few / SMALL_ROWS)))).alias("group"), zero.alias("low"), zero.alias("high")))
+    big = written(rows.where(F.col("count") > tile), "large")
+    if not big.isEmpty():
+        # the core's pairs all link; what lies outside of it is compared with everything, tile by tile
+        marked = written(_with_core(big, min_cosine), "marked")
+        of = ["component", "size"]
+        stats = written(marked.groupBy(*of).agg(F.sum(F.when(F.col("core"), F.col("weight")).otherwise(0)).alias("core_weight"), F.ceil(F.count_if("core") / tile).cast("int").alias("c"), F.ceil(F.count_if(~F.col("core")) / tile).cast("int").alias("o")), "cores")
+        both = marked.join(stats, of)
+        number = lambda n: F.pmod(F.xxhash64("id"), F.greatest(F.col(n), F.lit(1))).cast("int")
+        none = F.array().cast("array<int>")
+        others = F.when(F.col("o") == 0, none).when(F.col("core"), F.sequence(F.col("c"), F.col("c") + F.col("o") - 1)).otherwise(F.sequence(zero, F.col("c") + F.col("o") - 1))
+        tiled = both.select("id", "weight", "vector", *of, F.when(F.col("core"), number("c")).otherwise(F.col("c") + number("o")).alias("tile"), F.explode_outer(others).alias("other")).where("other is not null")
+        pairs = tiled.select("id", "weight", "vector", "size", "component", "tile", F.xxhash64(*of).alias("group"), F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"))
+        counted = counted.union(count(pairs)).union(both.where("core").select("id", (F.col("core_weight") - F.col("weight")).alias("links")))
     return counted.groupBy("id").agg(F.sum("links").alias("links"))
 
 

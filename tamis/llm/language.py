@@ -23,7 +23,7 @@ from tamis.llm._common import arrow_map, table
 
 DIMENSIONS = 1024
 SEED = 5
-#: Rows that the prototypes are fitted on, at most (a hash of doc_id picks them when there are more).
+#: Rows that the prototypes are fitted on, at most about (a hash of doc_id and text picks them when there are more).
 TRAIN_ROWS = 20_000
 MAX_LANGUAGES = 2048
 #: Letter classes: 0 is any run without letters, 1 to 26 are a to z, the others share the rest.
@@ -121,12 +121,12 @@ def fit(labelled: DataFrame, dimensions: int = DIMENSIONS, train_rows: int = TRA
     """Languages, sorted, and their prototypes of length 1, from rows (doc_id, text, lang).
 
     Rows with a null text or lang teach nothing; without any, there are no languages.
-    Of more than ``train_rows`` rows, those with the smallest hashes of doc_id are taken.
+    Of more than ``train_rows`` rows, those with the smallest hashes of doc_id and text are taken.
     """
     rows = labelled.select("doc_id", "text", F.col("lang").cast("string").alias("lang")).where(F.col("text").isNotNull() & F.col("lang").isNotNull())
     many = rows.select("doc_id").count()
     if many > train_rows:
-        rows = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(train_rows / many * (1 << 30)))
+        rows = rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < int(train_rows / many * (1 << 30)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trigrams, sums = Trigrams(dimensions), {}
