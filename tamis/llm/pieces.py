@@ -146,24 +146,25 @@ if sys.byteorder != "little" or array("I").itemsize != 4:
 
 class Coder:
     def __init__(self, path: str, n: int = N_BEST, cache_parts: int = CACHE_PARTS):
-        self.pieces, self.n, self.cache, self.cache_parts = Pieces(path), n, {}, cache_parts
+        self.pieces, self.n, self.cache, self.words, self.cache_parts = Pieces(path), n, {}, {}, cache_parts
 
     def _part(self, part: str) -> tuple[float, bytes, float]:
         """Score and ids of the best, and how far behind the second is."""
         if len(self.cache) >= self.cache_parts:
             self.cache.clear()
+        got = self.cache[part] = self._found(part)
+        return got
+
+    def _found(self, part: str) -> tuple[float, bytes, float]:
         pairs = self.pieces.pairs
         cuts = [i for i in range(1, len(part)) if part[i - 1 : i + 1] not in pairs]
         if cuts:
             # no piece holds these pairs of characters, so the lattice falls apart between them
             get, made = self.cache.get, self._part
             some = [get(p) or made(p) for p in (part[i:j] for i, j in zip([0, *cuts], [*cuts, len(part)], strict=True))]
-            got = (sum(x[0] for x in some), b"".join([x[1] for x in some]), min(x[2] for x in some))
-        else:
-            found = self.pieces.n_best(part, 2)
-            got = (found[0][0], array("I", found[0][1]).tobytes(), found[0][0] - found[1][0] if len(found) > 1 else math.inf)
-        self.cache[part] = got
-        return got
+            return sum(x[0] for x in some), b"".join([x[1] for x in some]), min(x[2] for x in some)
+        found = self.pieces.n_best(part, 2)
+        return found[0][0], array("I", found[0][1]).tobytes(), found[0][0] - found[1][0] if len(found) > 1 else math.inf
 
     def parts(self, text: str) -> list[str]:
         """The text with space marks, cut before each run of them; none for an empty text."""
@@ -172,22 +173,34 @@ class Coder:
         marked = SPACE + text.replace(" ", SPACE)
         return [p[i : i + PART_CHARS] for p in PART.findall(marked) if p for i in range(0, len(p), PART_CHARS)]
 
+    def _word(self, word: str) -> tuple[float, bytes, float]:
+        """The same for the part of a space mark and a word."""
+        if len(self.words) >= self.cache_parts:
+            self.words.clear()
+        got = self.words[word] = self._found(SPACE + word)
+        return got
+
     def n_best(self, text: str) -> tuple[list[bytes], list[float], list[dict[int, list[int]]]]:
         """Each part's ids in the best segmentation; the n best scores; for each, the parts that differ, with their ids."""
-        get, made, parts = self.cache.get, self._part, self.parts(text)
-        found = [get(p) or made(p) for p in parts]
-        best = math.fsum(p[0] for p in found)
+        if not text:
+            return [], [0.0], [{}]
+        words = text.split(" ")
+        if "" in words or SPACE in text or (len(text) > PART_CHARS and max(map(len, words)) >= PART_CHARS):
+            get, made, parts, mark = self.cache.get, self._part, self.parts(text), ""
+        else:  # single spaces: parts are words with a mark before them
+            get, made, parts, mark = self.words.get, self._word, words, SPACE
+        best_scores, ids, gaps = zip(*[get(p) or made(p) for p in parts], strict=True)
+        best, gaps = math.fsum(best_scores), np.array(gaps)
         # only the n - 1 parts with the nearest second can differ in the n best
-        gaps = np.array([p[2] for p in found])
         loose = np.argsort(gaps, kind="stable")[: self.n - 1] if len(gaps) < 64 else np.argpartition(gaps, self.n - 1)[: self.n - 1]
         combos: list[tuple[float, dict[int, list[int]]]] = [(0.0, {})]
         for i in sorted(loose.tolist()):
             if gaps[i] == math.inf:
                 continue
-            first, *others = self.pieces.n_best(parts[i], self.n)
+            first, *others = self.pieces.n_best(mark + parts[i], self.n)
             merged = combos + [(loss + first[0] - s, {**other, i: ids}) for loss, other in combos for s, ids in others]
             combos = sorted(merged, key=lambda x: x[0])[: self.n]
-        return [p[1] for p in found], [best - loss for loss, _ in combos], [other for _, other in combos]
+        return list(ids), [best - loss for loss, _ in combos], [other for _, other in combos]
 
     def segmentations(self, text: str) -> list[tuple[float, list[int]]]:
         """The n best segmentations of a text: score and ids."""
