@@ -48,3 +48,25 @@ def test_blocked_probe_has_no_second_shuffle(spark, small):
     plan = queries.QUERIES["bloom_false_positives_block32"](spark, small)._jdf.queryExecution().toString()
     physical = plan[plan.index("== Physical Plan ==") :]
     assert physical.count("Exchange hashpartitioning") == 1 and "BroadcastHashJoin" in physical and "Python" not in physical
+
+
+def test_entry_without_the_training_data_part(monkeypatch):
+    import sys
+
+    monkeypatch.setitem(sys.modules, "corpus_pipeline", None)
+    assert set(__spark_entry__.queries()) == set(queries.QUERIES) and set(__spark_entry__.oracle_sql()) == set(queries.ORACLE_SQL)
+
+
+def test_entry_hides_no_other_error(monkeypatch):
+    import builtins
+
+    plain = builtins.__import__
+
+    def broken(name, *args, **more):
+        if name == "corpus_pipeline":
+            raise ModuleNotFoundError("no numpy", name="numpy")
+        return plain(name, *args, **more)
+
+    monkeypatch.setattr(builtins, "__import__", broken)
+    with pytest.raises(ModuleNotFoundError):
+        __spark_entry__.queries()
