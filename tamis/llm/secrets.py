@@ -1,8 +1,11 @@
 """Secret scans: fixed patterns, and a battery of randomness tests for other tokens.
 
-A candidate is a run of 20 or more characters of ``[A-Za-z0-9+/_=-]`` outside the
-patterns' spans.  Its encoding is the smallest alphabet that holds it; letters alone or
-digits alone are no candidates.  Two questions are asked of it.
+A candidate is a run of 20 or more characters of ``[A-Za-z0-9+/_-]`` outside the
+patterns' spans, with ``=`` as padding at its end only, so a name and its value are two
+runs.  Its encoding is the smallest alphabet that holds it; letters alone or digits alone
+are no candidates.  A run that no alphabet holds, or that is not like a uniform source as
+a whole, is split at the symbols outside base64, base64url or base62, whichever leaves the
+most convincing pieces.  Two questions are asked of a candidate.
 
 * Could a uniform source have made it?  Chi-squared tests of the symbols and of their
   kinds, a runs test about the median symbol and a lag-one serial correlation; the
@@ -34,7 +37,9 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}")
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+")
+CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+(?:={1,6}(?![A-Za-z0-9+/_=-]))?")
+#: Runs between the symbols outside base64, base64url and base62.
+SPLITS = tuple(re.compile(f"[A-Za-z0-9{x}]{{20,}}+=*") for x in ("+/", "_-", ""))
 KINDS = ("assign", "access", "hex", "random")
 MASK = "[SECRET]"
 
@@ -111,24 +116,54 @@ def p_prose(token: str, symbols: str) -> float:
     return math.exp(min(0.0, sum(math.log(_PROSE[c]) for c in body) + len(body) * math.log(len(symbols))))
 
 
+def _test(token: str, start: int) -> tuple[float, float, int, int, str] | None:
+    """(p of prose, p of the uniform source, start, end, token) of a candidate; None if it is none."""
+    body = token.rstrip("=")
+    if len(body) < 20 or not any(map(str.isdigit, body)) or body.replace("-", "").replace("_", "").isdigit() or (of := encoding(token)) is None:
+        return None
+    return p_prose(token, of[1]), p_uniform(token, of[1]), start, start + len(token), token
+
+
+def candidates(run: str, at: int, min_random: float = MIN_RANDOM) -> list[tuple[float, float, int, int, str]]:
+    """The tests of a run that starts at ``at``: of itself, or of the pieces that cover it, without overlaps."""
+    out, todo = [], [(run, at)]
+    while todo:
+        run, at = todo.pop()
+        whole = _test(run, at)
+        if whole and whole[1] >= min_random:
+            out.append(whole)
+            continue
+        pieces = {(m.start(), m[0]) for split in SPLITS for m in split.finditer(run)} - {(0, run)}
+        tests = sorted((t for x, piece in pieces if (t := _test(piece, at + x))), key=lambda t: (t[1] < min_random, t))
+        if not tests or (whole and tests[0][1] < min_random):
+            out += [whole] if whole else []
+            continue
+        chosen: list[tuple[int, int]] = []
+        for t in tests:
+            i = bisect_left(chosen, t[2:4])
+            if (i == 0 or chosen[i - 1][1] <= t[2]) and (i == len(chosen) or t[3] <= chosen[i][0]):
+                chosen.insert(i, t[2:4])
+                out.append(t)
+        # what is left between the chosen pieces is a run of its own
+        ends, starts = [at, *(e for _, e in chosen)], [*(s for s, _ in chosen), at + len(run)]
+        todo += [(run[s - at : e - at], s) for s, e in zip(ends, starts, strict=True) if e - s >= 20]
+    return out
+
+
 def random_tokens(text: str, spans: list[tuple[int, int, str]], q: float = Q, min_random: float = MIN_RANDOM) -> list[tuple[int, int, str]]:
     """Spans (start, end, "random") of the tokens outside ``spans`` that pass the battery."""
     tests = []
     starts, ends = [s[0] for s in spans], list(accumulate((s[1] for s in spans), max))  # spans are in order of start
     for m in CANDIDATE.finditer(text):
-        token = m[0]
-        if token.isalpha() or not any(map(str.isdigit, token)) or ((i := bisect_left(starts, m.end())) and ends[i - 1] > m.start()):
-            continue
-        if len(token.rstrip("=")) < 20 or token.replace("-", "").replace("_", "").isdigit() or (of := encoding(token)) is None:
+        if not any(map(str.isdigit, m[0])) or ((i := bisect_left(starts, m.end())) and ends[i - 1] > m.start()):
             continue
-        if len(token) - len(token.rstrip("=")) <= 2:
-            tests.append((p_prose(token, of[1]), m.start(), m.end(), of[1], token))
+        tests += candidates(m[0], m.start(), min_random)
     if not tests:
         return []
     mean = sum(len(t[4]) for t in tests) / len(tests)
-    weighted = sorted((p * mean / len(token), start, end, symbols, token) for p, start, end, symbols, token in tests)
+    weighted = sorted((p * mean / len(token), start, end, uniform) for p, uniform, start, end, token in tests)
     passed = max((i for i, t in enumerate(weighted, 1) if t[0] <= q * i / len(weighted)), default=0)
-    return sorted((start, end, "random") for _, start, end, symbols, token in weighted[:passed] if p_uniform(token, symbols) >= min_random)
+    return sorted((start, end, "random") for _, start, end, uniform in weighted[:passed] if uniform >= min_random)
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:

@@ -50,6 +50,32 @@ def test_battery_separates():
     assert not any(secrets.random_tokens(f"see {t} here", []) for t in prose)
 
 
+def test_values_are_split_from_their_names():
+    r = random.Random(11)
+    of = lambda symbols, n: "".join(r.choice(symbols) for _ in range(n))
+    base62, base64 = string.ascii_letters + string.digits, string.ascii_letters + string.digits + "+/"
+    before = ["AWS_SECRET_ACCESS_KEY=", "client_auth=", "?sig=", "a=b=", "x==", "/files-of/some_user/", "/docs/some-page/", "reset-link/", "/one/two/three/four/"]
+    found = total = 0
+    for name in before:
+        for symbols in [base62] + [base64] * name.endswith("="):
+            for after in ["", " next", "&b=c"]:
+                for _ in range(20):
+                    token = of(symbols, 40)
+                    if any(map(str.isdigit, token)):
+                        total += 1
+                        got = secrets.random_tokens(f"see {name}{token}{after}", [])
+                        found += any(s <= 4 + len(name) and e == 4 + len(name) + len(token) for s, e, _ in got)
+                        assert all(s >= 4 for s, e, _ in got)
+    assert found / total > 0.9
+    value = "q8ZrT2vLw0Xy7Bn4Kc9Pd3Hs"
+    for name in ("client_auth=", "?sig="):
+        assert secrets.random_tokens(f"{name}{value}", []) == [(len(name), len(name) + len(value), "random")]
+    two = of(base62, 40) + "-some-name/of+" + of(base62, 40)
+    assert "[SECRET]" == re.sub(r"[a-z/+-]*(?=\[)", "", secrets.redacted(two, secrets.scan(two)[1])).replace("[SECRET][SECRET]", "[SECRET]")
+    prose = ["the-quick-brown-fox/jumps-over-2/dogs_and_cats", "name=user_profile_settings_v2_final=internationalization2024", "/path/to/some-long/file_name1/with-parts", "=" * 80, "1234567890-1234567890/1234567890"]
+    assert not any(secrets.random_tokens(f"see {x} here", []) for x in prose)
+
+
 def test_tests_are_calibrated():
     r, symbols = random.Random(1), secrets.ALPHABETS[5][1]
     p = [secrets.p_uniform("".join(r.choice(symbols) for _ in range(48)), symbols) for _ in range(400)]
