@@ -41,7 +41,7 @@ BYTE_PENALTY = 4.0
 #: Distinct parts that a worker remembers; the memory is emptied when it is full.
 CACHE_PARTS = 600_000
 PART = re.compile(f"{SPACE}*[^{SPACE}]*")
-#: Longest part that is searched whole; the lattice of a longer one is cut there, which keeps memory bounded.
+#: Longer parts are cut at all pairs of characters that no piece holds before the search, and are not remembered.
 PART_CHARS = 4096
 
 
@@ -70,6 +70,7 @@ class Pieces:
             raise ValueError("a piece has a space mark after another character")
         #: Neighbouring characters inside pieces.
         self.pairs = {t[i : i + 2] for t in self.ids for i in range(len(t) - 1)}
+        self.longest = max(map(len, self.ids))
         # a trie: each node is (children by character, id or -1, score)
         self.trie: tuple[dict, int, float] = ({}, -1, 0.0)
         for t, i in sorted(self.ids.items()):  # a piece comes after all its starts
@@ -90,7 +91,7 @@ class Pieces:
         best = [0.0] + [-math.inf] * n
         for start in range(n):
             so_far, end, children = best[start], start, root
-            for c in part[start:]:
+            for c in part[start : start + self.longest]:
                 node = children.get(c)
                 if node is None:
                     break
@@ -152,26 +153,32 @@ class Coder:
         """Score and ids of the best, and how far behind the second is."""
         if len(self.cache) >= self.cache_parts:
             self.cache.clear()
-        got = self.cache[part] = self._found(part)
+        got = self._found(part)
+        if len(part) <= PART_CHARS:
+            self.cache[part] = got
         return got
 
-    def _found(self, part: str) -> tuple[float, bytes, float]:
+    def _apart(self, part: str) -> list[str]:
+        """The part, cut at the pairs of characters that no piece holds: there its lattice falls apart."""
         pairs = self.pieces.pairs
         cuts = [i for i in range(1, len(part)) if part[i - 1 : i + 1] not in pairs]
-        if cuts:
-            # no piece holds these pairs of characters, so the lattice falls apart between them
+        return [part[i:j] for i, j in zip([0, *cuts], [*cuts, len(part)], strict=True)] if cuts else [part]
+
+    def _found(self, part: str) -> tuple[float, bytes, float]:
+        apart = self._apart(part)
+        if len(apart) > 1:
             get, made = self.cache.get, self._part
-            some = [get(p) or made(p) for p in (part[i:j] for i, j in zip([0, *cuts], [*cuts, len(part)], strict=True))]
+            some = [get(p) or made(p) for p in apart]
             return sum(x[0] for x in some), b"".join([x[1] for x in some]), min(x[2] for x in some)
         found = self.pieces.n_best(part, 2)
         return found[0][0], array("I", found[0][1]).tobytes(), found[0][0] - found[1][0] if len(found) > 1 else math.inf
 
     def parts(self, text: str) -> list[str]:
-        """The text with space marks, cut before each run of them; none for an empty text."""
+        """The text with space marks, cut before each run of them, long parts also where no piece goes across; none for an empty text."""
         if not text:
             return []
         marked = SPACE + text.replace(" ", SPACE)
-        return [p[i : i + PART_CHARS] for p in PART.findall(marked) if p for i in range(0, len(p), PART_CHARS)]
+        return [x for p in PART.findall(marked) if p for x in (self._apart(p) if len(p) > PART_CHARS else (p,))]
 
     def _word(self, word: str) -> tuple[float, bytes, float]:
         """The same for the part of a space mark and a word."""

@@ -63,6 +63,24 @@ def test_merging_parts_is_the_product(coder):
     assert np.allclose([s for s, _ in coder.segmentations(text)], want)
 
 
+@pytest.mark.parametrize("text", ["internationalization" * 500, "a" * 9000, "the\nlonger\ntexts\nof\nlines\n" * 400, "\u65e5\u672cQUJDREVGR0hJSktMTU5PUFFSU1RVVldYWVo0" * 300, "x " + " " * 9000 + "in" * 5000])
+def test_long_parts_are_searched_whole(coder, text):
+    marked = pieces.SPACE + text.replace(" ", pieces.SPACE)
+    want = coder.pieces.n_best(marked, 4)  # the lattice of the whole text
+    got = coder.segmentations(text)
+    assert np.allclose([s for s, _ in got], [s for s, _ in want], rtol=0, atol=1e-6)
+    assert all(coder.decode(ids) == text for _, ids in got)
+    # best scores up to each place, by plain dynamic programming over the vocabulary
+    best, ids, score, longest = [0.0], coder.pieces.ids, coder.pieces.score, max(map(len, coder.pieces.ids))
+    for end in range(1, len(marked) + 1):
+        c = marked[end - 1]
+        options = [best[end - n] + score[ids[marked[end - n : end]]] for n in range(1, min(end, longest) + 1) if marked[end - n : end] in ids]
+        if c not in ids:
+            options.append(best[-1] + sum(score[coder.pieces.bytes[x]] for x in c.encode()))
+        best.append(max(options))
+    assert abs(best[-1] - got[0][0]) < 1e-6
+
+
 def test_rows(spark, edge_docs, no_docs):
     got = pieces.digests(edge_docs, PATH).collect()
     assert len(got) == edge_docs.count() and all(r.round_trip for r in got)
