@@ -1,15 +1,19 @@
 """Main text of web pages with site style trees.
 
-Pages are parsed leniently into branches (paths of ``tag.class`` from the root).  What the
-markup names as menu, footer, sidebar, notice, advert, form or reader comment is cut from
-each page at once.  The remaining branches of a host's pages are merged: a branch has
-presentations (the sequence of its child tags) and contents (its text blocks).  With m
-distinct pages on a branch, presentation importance is the entropy of its styles to the
-base m, and content importance is one less the mean, over its contents, of the entropy of
-the pages that a content is on; the first weighs ``1 - GAMMA``, the second ``GAMMA``.
-Branches under ``min_importance`` on hosts with ``min_pages`` distinct pages are removed.
-
-Pages with the same remaining text count once, so copies of an article on one host do not
+Pages are parsed leniently into branches (paths of ``tag.class`` from the root).  All
+branches of a host's pages are merged: a branch has presentations (the sequence of its
+child tags) and contents (its text blocks).  With m distinct pages on a branch,
+presentation importance is the entropy of its styles to the base m, and content importance
+is one less the mean, over its contents, of the entropy of the pages that a content is on;
+the first weighs ``1 - GAMMA``, the second ``GAMMA``.  Branches under ``min_importance``
+on hosts with ``min_pages`` distinct pages are removed.
+
+What the markup names as menu, footer, sidebar, notice, advert, form or reader comment is a
+check after the tree: of what the tree leaves, it goes, but never a part that holds the
+only article or, on pages without one, most of the text.  What is outside article (or else
+main) elements goes where they hold at least half of the text.
+
+Pages with the same text outside such parts count once, so copies of an article on one host do not
 make it look like a template.
 
 Scale: pages are parsed twice and not shuffled.  What is aggregated are rows of four
@@ -22,6 +26,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -79,32 +84,36 @@ def _attributes(rest: str) -> dict[str, str]:
     return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(rest)}
 
 
-def blocks(page: str | None) -> tuple[list[tuple[str, str]], dict[str, list[str]]]:
-    """The (branch, text) of the blocks that the markup does not name as anything but article
-    text, in page order, and each branch's child tags in order.
+class Page(NamedTuple):
+    blocks: list[tuple[str, str, int, int]]  # branch, text, level (2 in an article, 1 in main), innermost named part
+    children: dict[str, list[str]]  # each branch's child tags in order
+    inside: list[int]  # each named part's next named part outside; 0 is none
+    articles: set[int]  # named parts with an article in them that is not named itself
+    seen: int  # the highest level outside named parts
 
-    Where a page has article (or else main) elements, only blocks in them are given.
-    """
-    stack: list[tuple[str, bool, str, int]] = [("", False, "", 0)]  # tag, cut, branch, 2 in an article, 1 in main
-    found: list[tuple[str, str, int]] = []
+
+def parsed(page: str | None) -> Page:
+    """All text blocks of a page, in order, with the parts that the markup names as anything but article text."""
+    stack: list[tuple[str, int, str, int]] = [("", 0, "", 0)]  # tag, named part, branch, level
+    found: list[tuple[str, str, int, int]] = []
     children: dict[str, list[str]] = {}
-    pieces: list[str] = []
+    pieces: dict[int, tuple[str, list[str]]] = {}
+    inside, articles = [0], set()
     seen = 0
 
     def flush() -> None:
-        if pieces:
-            text = " ".join("".join(pieces).split())
+        for cut, (branch, texts) in pieces.items():
+            text = " ".join("".join(texts).split())
             if text:
-                found.append((stack[-1][2], text, stack[-1][3]))
-            pieces.clear()
+                found.append((branch, text, stack[-1][3], cut))
+        pieces.clear()
 
     for m in TOKEN.finditer(page or ""):
         tag = m["tag"] or m["tag2"]
         if tag is None:
             text = m[0]
             if text[0] != "<" or text == "<":
-                if not stack[-1][1]:
-                    pieces.append(html.unescape(text) if "&" in text else text)
+                pieces.setdefault(stack[-1][1], (stack[-1][2], []))[1].append(html.unescape(text) if "&" in text else text)
             continue
         tag, rest = tag.lower(), m["rest"] or m["rest2"] or ""
         if tag in BLOCK:
@@ -132,21 +141,66 @@ def blocks(page: str | None) -> tuple[list[tuple[str, str]], dict[str, list[str]
         marks = _attributes(rest) if "=" in rest else {}
         words = {w.lower() for k in ("class", "id") for x in marks.get(k, "").split() if not x.lower().startswith(NOT_ITSELF) for w in WORD.findall(x)}
         if tag == "article":
-            cut = cut or bool(words & CUT_ARTICLES)
-        elif not cut and tag not in ("html", "body", "main"):
-            cut = tag in CUT_TAGS or marks.get("role", "").lower() in CUT_ROLES or bool(words & CUT_WORDS) or (level == 0 and (tag == "header" or bool(words & HEADER_WORDS)))
+            named = bool(words & CUT_ARTICLES)
+            outer = 0 if named else cut
+            while outer:
+                articles.add(outer)
+                outer = inside[outer]
+        else:
+            named = tag not in ("html", "body", "main") and (tag in CUT_TAGS or marks.get("role", "").lower() in CUT_ROLES or bool(words & CUT_WORDS) or (level == 0 and (tag == "header" or bool(words & HEADER_WORDS))))
+        if named:
+            inside.append(cut)
+            cut = len(inside) - 1
         level = max(level, 2 if tag == "article" else 1 if tag == "main" or marks.get("role", "").lower() == "main" else 0)
         if level and not cut:
             seen = max(seen, level)
-        if tag in BLOCK:
-            names = marks.get("class", "").split()
-            name = ".".join([tag, *sorted(names)[:2]])
-            if not cut:
+        if tag in BLOCK or named:
+            name = ".".join([tag, *sorted(marks.get("class", "").split())[:2]])
+            if tag in BLOCK:
                 children.setdefault(branch, []).append(name)
             branch = f"{branch}/{name}"
         stack.append((tag, cut, branch, level))
     flush()
-    return [(b, t) for b, t, level in found if level >= seen], children
+    return Page(found, children, inside, articles, seen)
+
+
+def blocks(page: str | None) -> tuple[list[tuple[str, str]], dict[str, list[str]]]:
+    """The (branch, text) of the blocks that the markup alone leaves, in page order, and each branch's child tags in order.
+
+    Where a page has article (or else main) elements, only blocks in them are given.
+    """
+    p = parsed(page)
+    return [(b, t) for b, t, level, cut in p.blocks if not cut and level >= p.seen], p.children
+
+
+def checked(page: Page, low: set[str]) -> list[str]:
+    """The texts of the blocks that stay: without the branches ``low``, then without named parts and what is around articles.
+
+    A named part stays if it holds the only article, or, on a page without one outside such
+    parts, most of the text; named parts in it are checked on their own.
+    """
+    left = [x for x in page.blocks if x[0] not in low] if low else page.blocks
+    if len(page.inside) > 1:
+        cuts = set(range(1, len(page.inside)))
+        if not page.seen:
+            size = [0] * len(page.inside)
+            for _, text, _, cut in left:
+                while cut:
+                    size[cut] += len(text)
+                    cut = page.inside[cut]
+            most = sum(len(x[1]) for x in left) / 2
+            cuts = {k for k in cuts if k not in page.articles and size[k] <= most}
+        gone = [False] * len(page.inside)
+        for k in range(1, len(page.inside)):
+            gone[k] = k in cuts or gone[page.inside[k]]
+        left = [x for x in left if not gone[x[3]]]
+    size = sum(len(x[1]) for x in left)
+    for level in (2, 1):
+        own = [x for x in left if x[2] >= level]
+        if own and 2 * sum(len(x[1]) for x in own) >= size:
+            left = own
+            break
+    return [x[1] for x in left]
 
 
 def _digest(*parts: str) -> int:
@@ -174,11 +228,12 @@ def features(pages: DataFrame) -> DataFrame:
             for page, host in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 if not host:
                     continue
-                own, children = blocks(page)
-                h, seen = _digest(host), _digest(" ".join(t for _, t in own))
-                nodes = {x: node(host, x) for x in {x for x, _ in own}}
-                rows.update((h, nodes[x], 1, _digest(t), seen) for x, t in own)
-                rows.update((h, n, 0, _digest(*children.get(x, ())), seen) for x, n in nodes.items())
+                p = parsed(page)
+                own = [t for _, t, level, cut in p.blocks if not cut and level >= p.seen] or [x[1] for x in p.blocks]
+                h, seen = _digest(host), _digest(" ".join(own))
+                nodes = {x: node(host, x) for x in {x[0] for x in p.blocks}}
+                rows.update((h, nodes[x], 1, _digest(t), seen) for x, t, _, _ in p.blocks)
+                rows.update((h, n, 0, _digest(*p.children.get(x, ())), seen) for x, n in nodes.items())
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["host", "node", "kind", "feature", "page"])
 
@@ -223,11 +278,9 @@ def extract(pages: DataFrame, min_importance: float = MIN_IMPORTANCE, min_pages:
             texts = []
             for page, host, low in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True):
                 drop = sent.value if low is None else set(low)
-                own = blocks(page)[0]
-                if drop and host:
-                    bad = {x for x in {x for x, _ in own} if node(host, x) in drop}
-                    own = [x for x in own if x[0] not in bad] if bad else own
-                texts.append(" ".join(t for _, t in own))
+                p = parsed(page)
+                bad = {x for x in {x[0] for x in p.blocks} if node(host, x) in drop} if drop and host else set()
+                texts.append(" ".join(checked(p, bad)))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     return arrow_map(rows, run, "page_id long, url string, text string, n_chars long")

@@ -42,6 +42,19 @@ def test_repeated_branches_are_removed(spark):
         assert all(r.n_chars == len(r.text) for r in got)
 
 
+def test_names_do_not_decide_before_the_tree(spark):
+    box = "<nav><p>Home and about.</p></nav><div class=x><p>Same words.</p></div>"
+    wrapped = [(i, f"http://form.example/{i}", f"<body><form id=page>{box}<div class=body><p>Story {i} tells {i * 7} things at length.</p></div><div class=sidebar><p>See {i}</p></div></form></body>") for i in range(8)]
+    teaser = [(100 + i, f"http://cards.example/{i}", f"<body>{box}<div class=body><p>Story {i} tells {i * 7} things at some length.</p></div><article><p>More {i}</p></article></body>") for i in range(8)]
+    hidden = [(200, "http://lone.example/", "<body><div class=widget><article><p>The only article.</p></article></div><p>A text outside.</p></body>")]
+    got = {r.page_id: r.text for r in sitestyle.extract(pages(spark, wrapped + teaser + hidden)).collect()}
+    assert all(got[i] == f"Story {i} tells {i * 7} things at length." for i in range(8))
+    assert all(got[100 + i] == f"Story {i} tells {i * 7} things at some length. More {i}" for i in range(8))
+    assert "The only article." in got[200]
+    low = sitestyle.importance(sitestyle.features(sitestyle._with_host(pages(spark, wrapped)))).where("importance < 0.3").count()
+    assert low == 2  # menu and box
+
+
 def test_copies_of_an_article_are_no_template(spark):
     copy = "<body><article><p>The very same article.</p></article></body>"
     rows = [(i, f"http://a.example/{i}", copy) for i in range(50)] + [(100, "http://a.example/z", "<body><article><p>Another.</p></article></body>")]
