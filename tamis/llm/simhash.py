@@ -198,20 +198,25 @@ def keep_one(docs: DataFrame, words: int = SHINGLE_WORDS, max_bits: int = MAX_BI
     """One row of each component of ``docs``, with all its columns: that of the smallest doc_id.
 
     Rows of that doc_id with several texts leave the one with the smallest hash, and of
-    repeated rows one stays. Rows with a null doc_id all stay.
+    repeated rows one stays. A component without any doc_id leaves the row with the smallest
+    hash; beside rows with a doc_id, those without one all stay.
     """
-    every = written(near_duplicates(docs, words, max_bits).select("doc_id", "text_hash", "root").where("doc_id is not null"), "components")
-    row = F.struct("doc_id", "text_hash")
-    heads = every.groupBy("root").agg(F.min(row).alias("head"))
-    marked = written(every.join(heads, "root").select("doc_id", "text_hash", (row == F.col("head")).alias("stays")), "marked")
+    every = written(near_duplicates(docs, words, max_bits).select("doc_id", "text_hash", "root"), "components")
+    row, told = F.struct("doc_id", "text_hash"), F.col("doc_id").isNotNull()
+    heads = every.groupBy("root").agg(F.min(F.when(told, row)).alias("head"), F.min("text_hash").alias("least_hash"))
+    first = F.when(F.col("head").isNotNull(), told & (row == F.col("head"))).otherwise(F.col("text_hash") == F.col("least_hash"))
+    beside = ~told & F.col("head").isNotNull()
+    marked = written(every.join(heads, "root").select("doc_id", "text_hash", first.alias("first"), beside.alias("beside")), "marked")
     key = [F.col("doc_id").alias("key_id"), F.col("text_hash").alias("key_hash")]
-    gone = written(marked.where(~F.col("stays")).select(*key).distinct(), "gone")
-    twice = written(marked.where("stays").groupBy("doc_id", "text_hash").count().where("count > 1").select(*key), "twice")
-    same = lambda other: (docs["doc_id"] == other["key_id"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == other["key_hash"])
-    kept = docs.join(gone, same(gone), "left_anti")
-    if twice.isEmpty():
-        return kept
-    return kept.join(twice, same(twice), "left_anti").union(kept.join(twice, same(twice), "left_semi").dropDuplicates(["doc_id"]))
+    gone = written(marked.where(~F.col("first") & ~F.col("beside")).select(*key).distinct(), "gone")
+    twice = written(marked.where("first").groupBy("doc_id", "text_hash").count().where("count > 1").select(*key), "twice")
+    hashed = docs.withColumn("__text_hash", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    same = lambda other: hashed["doc_id"].cast("long").eqNullSafe(other["key_id"]) & (hashed["__text_hash"] == other["key_hash"])
+    kept = hashed.join(gone, same(gone), "left_anti")
+    if not twice.isEmpty():
+        # one doc_id may head several components, each with its own text
+        kept = kept.join(twice, same(twice), "left_anti").union(kept.join(twice, same(twice), "left_semi").dropDuplicates(["doc_id", "__text_hash"]))
+    return kept.drop("__text_hash")
 
 
 def op9_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -102,6 +102,12 @@ def test_one_of_each_group_stays(edge_docs, no_docs):
     assert simhash.keep_one(no_docs).count() == 0
 
 
+def test_one_row_of_each_repeated_head_stays(spark):
+    rows = [(1, "alpha beta gamma delta"), (1, "one two three four five")] * 2 + [(None, "of no id at all")] * 3 + [(None, "something else without id")]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(str, kept)) == sorted(map(str, spark.createDataFrame(list(dict.fromkeys(rows)), "doc_id long, text string").collect()))
+
+
 def test_all_documents(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").collect()
     got = {r.doc_id: r for r in simhash.op9_simhash_pivots(spark, small).collect()}
