@@ -4,16 +4,20 @@ Every document becomes its token ids followed by one end id.  Whole stretches of
 ``seq_len`` ids fill sequences of their own; the rest of each document is packed by
 estimated cost.  A piece of ``n`` ids costs ``linear * n + quadratic * n * n`` (attention
 stays inside a piece), and pieces, longest first, go to the cheapest sequence that
-still has room.  What fits nowhere whole is cut over the remaining gaps, so that of each
-group of pieces at most one sequence has padding.
+still has room.  What fits nowhere whole is cut over the remaining gaps, so a group of
+pieces takes the fewest sequences that can hold it: its padding, over all of them, is less
+than ``seq_len``.
 
 Scale: one narrow pass, no shuffle.  Groups of ``group_pieces`` rests are packed as they
-stream by, so memory is bounded by a group, however many rows a partition has.
+stream by, so memory is bounded by a group, however many rows a partition has.  Costs are
+balanced within a group; a whole stretch has the highest cost that a sequence can have,
+and groups differ as the lengths of their documents do.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -32,6 +36,9 @@ LINEAR, QUADRATIC = 1.0, 1.0 / 2048
 GROUP_PIECES = 2048
 #: The byte-level vocabulary's own split of a text into words (a fixed value of the format).
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Runs of the white space that ``SPLIT`` knows which are split off by hand: its look-ahead
+#: tracks back over a run, and the matcher's stack has an end.
+LONG_SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{4096,}")
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 SCHEMA_IDS = SCHEMA + ", ids array<int>"
@@ -63,9 +70,18 @@ class ByteTokenizer:
         if [told["model"]["vocab"]["".join(m)] for m in merges] != list(range(256, 256 + len(merges))):
             raise ValueError(f"the ids of {path} do not follow its merges")
         self.coder = tiktoken.Encoding("bytes", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens=special)
+        self.special = tuple(special)
 
     def encode(self, text: str) -> np.ndarray:
-        return self.coder.encode_to_numpy(text, allowed_special="all")
+        out, at = [], 0
+        for m in LONG_SPACE.finditer(text):
+            # a run is one word, but for its last character where a word follows
+            end = m.end() - (m.end() < len(text) and not text.startswith(self.special, m.end()))
+            word = text[m.start() : end].encode()
+            out += [self.coder.encode_to_numpy(text[at : m.start()], allowed_special="all"), np.array(self.coder._encode_single_piece(word), np.uint32)]
+            at = end
+        last = self.coder.encode_to_numpy(text[at:], allowed_special="all")
+        return np.concatenate([*out, last]) if out else last
 
 
 _LOADED: dict[str, ByteTokenizer] = {}

@@ -22,6 +22,39 @@ def test_encoder_equals_the_library(text):
     assert coder.encode(text + "<|endoftext|> x").tolist() + [0] == ids_of([text + "<|endoftext|> x"])[0]
 
 
+@given(st.lists(st.sampled_from([" " * 5000, "\n" * 4097, "\u3000" * 4096, "\x1c" * 4500, "\t \r" * 2000, "x", " y", "\n", "<|endoftext|>", "日本", "1"]), max_size=6))
+def test_long_white_space_equals_the_library(parts):
+    text = "".join(parts)
+    assert packing.tokenizer(PATH).encode(text).tolist() + [0] == ids_of([text])[0]
+
+
+def test_very_long_runs():
+    coder, lib = packing.tokenizer(PATH), Tokenizer.from_file(PATH)
+    for text in (" " * 5_000_000 + "x", "a" + "\n" * 1_500_000, "\t" * 1_200_000 + "<|endoftext|>", "ab" * 500_000):
+        assert np.array_equal(coder.encode(text), lib.encode(text, add_special_tokens=False).ids)
+
+
+def test_assignment_matches_plain_greedy():
+    r = np.random.default_rng(4)
+    for _ in range(50):
+        lengths = r.integers(1, 65, r.integers(1, 40))
+        k = -(-int(lengths.sum()) // 64)
+        room, cost, whole = [64] * k, [0.0] * k, []
+        for i in sorted(range(len(lengths)), key=lambda i: (-lengths[i], i)):
+            n = int(lengths[i])
+            options = [(cost[s], s) for s in range(k) if room[s] >= n]
+            if options:
+                s = min(options)[1]
+                whole.append((i, 0, n, s, 64 - room[s]))
+                room[s] -= n
+                cost[s] += packing.LINEAR * n + packing.QUADRATIC * n * n
+        got = packing.assign(lengths, 64)
+        assert got[: len(whole)] == whole
+        gaps = [s for s in sorted(range(k), key=lambda s: (room[s], s)) if room[s]]
+        rest = [x[3] for x in got[len(whole) :]]
+        assert rest == sorted(rest, key=gaps.index)
+
+
 @given(st.lists(st.integers(1, 64), min_size=1, max_size=60))
 def test_assignment_uses_every_id_once(lengths):
     lengths = np.array(lengths)
