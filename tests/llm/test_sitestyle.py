@@ -1,8 +1,14 @@
+import functools
+import random
+import re
+import time
+from math import log
+
 from tamis.llm import sitestyle
 
 
 def text(page):
-    return " ".join(t for _, t in sitestyle.blocks(page)[0])
+    return " ".join(sitestyle.checked(sitestyle.parsed(page), set()))
 
 
 CASES = {
@@ -15,7 +21,11 @@ CASES = {
     "<nav><p>n</nav><article><p><b>One.<br><p>Two\n  three.</p><!-- <p>no</p> --></article><footer>&copy;</footer>": "One. Two three.",
     "<title>t</title><style>p{}</style><p>x&lt;y&#33;&eacute;": "x<y!é",
     "<div class='content no-sidebar'><p>kept</p></div><div id=cookie-notice>n</div><div role=navigation>n</div>": "kept",
-    "<article><p>a</article><p>outside": "a",
+    "<article><p>a longer text</article><p>outside": "a longer text",
+    "<article><div class='rail-travel widget social'>By rail.</div><p>More<div id=comments>No!</div></article>": "By rail. More",
+    "<p title='a > b' class=\"x>y\">kept<!--> too<i": "kept too<i",
+    "<b>" * 9 + "x" + "</i>" * 9 + "<p>y</b>z": "x y z",
+    "<table><tr><td>a<table><tr><td>b</table><td>c</table>d": "a b c d",
     "<div>a<div>b</div>c</div>": "a b c",
 }
 
@@ -51,8 +61,23 @@ def test_names_do_not_decide_before_the_tree(spark):
     assert all(got[i] == f"Story {i} tells {i * 7} things at length." for i in range(8))
     assert all(got[100 + i] == f"Story {i} tells {i * 7} things at some length. More {i}" for i in range(8))
     assert "The only article." in got[200]
-    low = sitestyle.importance(sitestyle.features(sitestyle._with_host(pages(spark, wrapped)))).where("importance < 0.3").count()
-    assert low == 2  # menu and box
+    assert sitestyle.low_branches(sitestyle.parse(pages(spark, wrapped))).count() == 2  # menu and box
+
+
+def test_hosts_without_helpful_names(spark):
+    """Menus, adverts from a pool, and a long notice, in bare divs: nothing but the tree can tell them."""
+    r = random.Random(4)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+    pool, notice, rows, want = [" ".join(word() for _ in range(5)) for _ in range(6)], " ".join(word() for _ in range(60)), [], {}
+    for i in range(60):
+        parts = [" ".join(word() for _ in range(r.randrange(5, 30))) for _ in range(3)]
+        want[i] = " ".join(parts)
+        body = "".join(f"<p>{x}</p>" for x in parts)
+        rows.append((i, f"http://bare.example/{i}", f"<div><div class=q1>{r.choice(pool)}</div><div class=q2><span>{word()[:1]}</span></div><div class=q3>{notice}</div></div><div class=q4>{body}</div><div class=q5>{r.choice(pool)}</div>"))
+    rows += [(100 + i, f"http://bare.example/copy{i}", re.sub("q1>[^<]*", "q1>" + r.choice(pool), rows[0][2])) for i in range(300)]  # most pages are copies of one
+    got = {x.page_id: x.text for x in sitestyle.extract(pages(spark, rows)).collect()}
+    assert all(got[i] == want[i] for i in want)
+    assert {got[100 + i] for i in range(300)} == {want[0]}
 
 
 def test_copies_of_an_article_are_no_template(spark):
@@ -61,13 +86,78 @@ def test_copies_of_an_article_are_no_template(spark):
     assert {r.text for r in sitestyle.extract(pages(spark, rows)).collect()} == {"The very same article.", "Another."}
 
 
-def test_importance_matches_brute_force(spark):
-    from math import log
-
-    rows = [(i, "http://h.example/", f"<body><div class=x><p>{'same' if i % 2 else i}</p></div></body>") for i in range(6)]
-    got = sitestyle.importance(sitestyle.features(sitestyle._with_host(pages(spark, rows)))).collect()
-    # four distinct pages (three odd ones are equal): one style on all, four contents on one page each
-    assert [(r.pages, round(r.importance, 9)) for r in got] == [(4, round(0.1 * (1 - 4 * log(4) / 4 / log(4)) + 0.9, 9))]
+def brute_importance(rows):
+    """The tree of a table, branch by branch: {(host, branch): (pages, importance)}."""
+    trees, text_of = {}, {}
+    for _, url, html in rows:
+        host = re.match(r"[a-z]+://([^/?#]*)", url or "")
+        if host and html:
+            trees.setdefault(host[1].lower(), []).append(sitestyle.parsed(html))
+    out = {}
+    for host, found in trees.items():
+        for p in found:
+            for x in p.blocks:
+                text_of.setdefault((host, x.branch), set()).add(x.text)
+        main = max(((sum(map(len, t)), b) for (h, b), t in text_of.items() if h == host), default=(0, 0))[1]
+        seen = {}
+        for p in found:
+            of = {b: [x.text for x in p.blocks if x.branch == b] for b in {x.branch for x in p.blocks}}
+            if of:
+                seen.setdefault(sitestyle.shingle_hash(of[main]) if main in of else min(map(sitestyle.shingle_hash, of.values())), []).append((p, of))
+        for branch in {b for h, b in text_of if h == host}:
+            on = {k: [(p, of) for p, of in v if branch in of] for k, v in seen.items()}
+            on = {k: v for k, v in on.items() if v}
+            m = len(on)
+            times = lambda what: [sum(f in {y for x in v for y in what(x)} for v in on.values()) for f in {y for v in on.values() for x in v for y in what(x)}]  # noqa: B023, E731
+            styles, contents = times(lambda x: [x[0].styles.get(branch, 0)]), times(lambda x: x[1][branch])  # noqa: B023
+            if m == 1:
+                out[host, branch] = (1, 1.0)
+                continue
+            style = max(0.0, (log(m) - sum(n * log(n) for n in styles) / m) / log(m))
+            content = 1 - sum(map(log, contents)) / len(contents) / log(m)
+            out[host, branch] = (m, 0.1 * style + 0.9 * content)
+    return out
+
+
+def test_tree_matches_brute_force(spark):
+    table = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url", "html")
+    rows = [tuple(r) for r in table.collect()]
+    rows += [(10_000 + i, "http://h.example/", f"<body><div class=x><p>{'same' if i % 2 else i}</p></div></body>") for i in range(6)]
+    blocks = sitestyle.parse(pages(spark, rows)).cache()
+    got = {(r.host, r.node): (r.pages, r.importance) for r in sitestyle.importance(sitestyle.features(blocks)).collect()}
+    want = {(sitestyle._digest(h), b): x for (h, b), x in brute_importance(rows).items()}
+    assert got.keys() == want.keys()
+    assert all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 1e-9 for k in want)
+    low = {k for k, (m, x) in want.items() if (12 + m * x) / (12 + m) < 0.85}
+    assert {tuple(r) for r in sitestyle.low_branches(blocks).collect()} == low
+    of = {}
+    for h, b in low:
+        of.setdefault(h, set()).add(b)
+    texts = {r.page_id: r.text for r in sitestyle.extract(pages(spark, rows)).collect()}
+    for page_id, url, html in rows:
+        assert texts[page_id] == " ".join(sitestyle.checked(sitestyle.parsed(html), of.get(sitestyle._digest(url.split("/")[2].lower()), set())))
+
+
+def test_tree_removes_the_templates_of_the_table(spark):
+    blocks = sitestyle.parse(spark.read.parquet("/root/testdata/sf0.1/pages.parquet"))
+    path = lambda *names: functools.reduce(sitestyle.step, names, 0)
+    templates = [path("html", "body", "div.ad"), path("html", "body", "footer"), path("html", "body", "nav", "ul", "li")]
+    got = [r.node for r in sitestyle.low_branches(blocks).collect()]
+    assert len(got) > 20 and set(got) == set(templates)  # and nothing of an article
+
+
+HOSTILE = ['<a "', "<a ", '<a ">"', '<a b=">"', "<div>", "<ul><li>", "<table><tr><td>", "<nav>x", "<", "&", "<!--", "<script>", "</div>", "<p class", "<a '>\""]
+
+
+def test_hostile_pages_take_linear_time():
+    for unit in [*HOSTILE, ("<b>", "</i>"), ("<b>", "<p>"), ("<div>", "<li>"), ("<nav>", "<article>")]:
+        page = lambda n: unit * (n // len(unit)) if isinstance(unit, str) else "".join(x * (n // 2 // len(x)) for x in unit)  # noqa: B023, E731
+        spent = []
+        for n in (1 << 16, 1 << 19):
+            start = time.process_time()
+            sitestyle.checked(sitestyle.parsed(page(n)), set())
+            spent.append(time.process_time() - start)
+        assert spent[1] < 20 * spent[0] + 0.5, unit
 
 
 def test_no_rows_and_repeats(spark):
@@ -78,7 +168,6 @@ def test_no_rows_and_repeats(spark):
 
 def test_generated_pages(spark, small):
     import html
-    import re
 
     got = {r.page_id: r.text for r in sitestyle.op8_site_style_trees(spark, small).collect()}
     for r in spark.read.parquet(f"{small}/pages.parquet").collect():
