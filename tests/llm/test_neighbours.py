@@ -45,6 +45,49 @@ def test_edges(spark):
     assert neighbours.search(df.limit(0), df).count() == 0 and neighbours.search(df, df.limit(0)).count() == 0
 
 
+def share(ids, x, queries, k=10):
+    """Recall, and share of the vectors whose distance is computed."""
+    index, hit, verified = neighbours.Index.built(ids, x), 0, 0
+    for q in queries:
+        i, d, n = index.nearest(int(ids[q]), x[q], k)
+        want = brute(ids, x, q, k)
+        hit += len({j for j, _ in want} & set(i.tolist()))
+        verified += n
+        exact = np.sqrt(((x - x[q]) ** 2).sum(1))
+        assert all(exact[np.flatnonzero(ids == j)[0]] == s for j, s in zip(i, d, strict=True))
+    return hit / (k * len(queries)), verified / (len(queries) * len(x))
+
+
+def test_collisions_prune():
+    r = np.random.default_rng(2)
+    centres = r.standard_normal((200, 64))
+    x = centres[r.integers(0, 200, 8192)] + 0.3 * r.standard_normal((8192, 64))
+    recall, verified = share(r.permutation(8192), x, range(0, 8192, 256))
+    assert recall >= 0.9 and verified < 0.05
+    # without any clusters, 64 dimensions leave the nearest not much nearer than the rest
+    recall, verified = share(r.permutation(8192), r.standard_normal((8192, 64)), range(0, 8192, 256))
+    assert recall >= 0.9 and verified < 0.3
+
+
+def test_recall_of_the_table(spark):
+    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").where(neighbours.usable()).select("vec_id", "embedding").toPandas()
+    ids, x = table["vec_id"].to_numpy(), np.stack(table["embedding"].to_numpy()).astype(np.float64)
+    recall, verified = share(ids, x, np.flatnonzero(ids % 100 == 0))
+    assert recall >= 0.9 and verified < 0.5
+
+
+def test_index_survives_packing():
+    r = np.random.default_rng(5)
+    x = r.standard_normal((300, 8))
+    one = neighbours.Index.built(np.arange(300), x, 16)
+    two = neighbours.Index.unpacked(*one.packed())
+    for q in range(0, 300, 30):
+        a, b = one.nearest(q, x[q], 5), two.nearest(q, x[q], 5)
+        assert a[0].tolist() == b[0].tolist() and a[1].tolist() == b[1].tolist()
+    far = one.nearest(-1, np.full(8, 1e9), 5)  # a query far outside of all projections
+    assert far[0].tolist() == [i for i, _ in brute(np.arange(301), np.vstack([x, np.full(8, 1e9)]), 300, 5)]
+
+
 def test_threshold_is_met():
     least, radius = neighbours.needed(40, 0.5, 0.02)
     r = np.random.default_rng(0)
