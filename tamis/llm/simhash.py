@@ -174,6 +174,19 @@ def links(classes: DataFrame, max_bits: int = MAX_BITS, bucket_cap: int = BUCKET
     return _links(keyed.join(hot, "key", "left_anti"), max_bits).union(_variant_links(keyed.join(hot, "key", "left_semi").select("fp").distinct()))
 
 
+def _resolved(docs: DataFrame, words: int, max_bits: int, bucket_cap: int) -> tuple[DataFrame, DataFrame]:
+    """The rows' fingerprints; and of each distinct one its component_id (see ``near_duplicates``) and root."""
+    fps = written(fingerprints(docs, words), "fingerprints")
+    classes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
+    joined = components(links(classes, max_bits, bucket_cap))
+    members = joined.join(classes, F.col("vertex") == F.col("fp")).select("fp", "component", "least")
+    members = written(members, "members")
+    least = members.groupBy("component").agg(F.min("least").alias("other"))
+    linked = written(members.join(least, "component").select("fp", "component", "other"), "linked")
+    ids = classes.join(linked, "fp", "left").select("fp", F.coalesce("other", "least").alias("component_id"), F.coalesce("component", "fp").alias("root"))
+    return fps, written(ids, "ids")
+
+
 def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS, bucket_cap: int = BUCKET_CAP) -> DataFrame:
     """(doc_id, text_hash, fp, component_id, root) of each row of ``docs`` (doc_id, text).
 
@@ -183,42 +196,36 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, max_bits: int =
     by its text, and has a null component_id only if nothing else is in its component.
     An empty table gives no rows; other columns are ignored.
     """
-    fps = written(fingerprints(docs, words), "fingerprints")
-    classes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
-    joined = components(links(classes, max_bits, bucket_cap))
-    members = joined.join(classes, F.col("vertex") == F.col("fp")).select("fp", "component", "least")
-    members = written(members, "members")
-    least = members.groupBy("component").agg(F.min("least").alias("other"))
-    linked = written(members.join(least, "component").select("fp", "component", "other"), "linked")
-    ids = classes.join(linked, "fp", "left").select("fp", F.coalesce("other", "least").alias("component_id"), F.coalesce("component", "fp").alias("root"))
-    return fps.join(written(ids, "ids"), "fp", "left").select("doc_id", "text_hash", "fp", "component_id", "root")
+    fps, ids = _resolved(docs, words, max_bits, bucket_cap)
+    return fps.join(ids, "fp", "left").select("doc_id", "text_hash", "fp", "component_id", "root")
 
 
-def keep_one(docs: DataFrame, words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
+def keep_one(docs: DataFrame, words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS, bucket_cap: int = BUCKET_CAP) -> DataFrame:
     """One row of each component of ``docs``, with all its columns: that of the smallest doc_id.
 
-    Rows of that doc_id with several texts leave the one with the smallest hash, and of
-    repeated rows one stays. A component without any doc_id leaves the row with the smallest
-    hash; beside rows with a doc_id, those without one all stay.
+    Rows of that doc_id with several texts leave the one with the smallest hash, of
+    repeated rows one stays, and a row without a doc_id stays only where none has one.
+
+    Scale: heads are found among distinct fingerprints first, so neither a group of copies
+    nor a component is one task; what is joined with the rows are the keys that go.
     """
-    every = written(near_duplicates(docs, words, max_bits).select("doc_id", "text_hash", "root"), "components")
-    row, told = F.struct("doc_id", "text_hash"), F.col("doc_id").isNotNull()
-    heads = every.groupBy("root").agg(F.min(F.when(told, row)).alias("head"), F.min("text_hash").alias("least_hash"))
-    first = F.when(F.col("head").isNotNull(), told & (row == F.col("head"))).otherwise(F.col("text_hash") == F.col("least_hash"))
-    beside = ~told & F.col("head").isNotNull()
-    marked = written(every.join(heads, "root").select("doc_id", "text_hash", first.alias("first"), beside.alias("beside")), "marked")
-    key = [F.col("doc_id").alias("key_id"), F.col("text_hash").alias("key_hash")]
-    gone = written(marked.where(~F.col("first") & ~F.col("beside")).select(*key).distinct(), "gone")
-    twice = written(marked.where("first").groupBy("doc_id", "text_hash").count().where("count > 1").select(*key), "twice")
+    fps, ids = _resolved(docs, words, max_bits, bucket_cap)
+    told = F.struct(F.col("doc_id").isNull().alias("untold"), "doc_id", "text_hash")
+    heads = fps.groupBy("fp").agg(F.min(told).alias("head")).join(ids, "fp").groupBy("root").agg(F.min("head").alias("head"))
+    heads = written(heads.select(F.col("head.doc_id").alias("key_id"), F.col("head.text_hash").alias("key_hash"), F.lit(True).alias("first")), "heads")
+    keys = fps.groupBy("doc_id", "text_hash").agg(F.count("*").alias("rows"))
+    marked = keys.join(heads, F.col("doc_id").eqNullSafe(F.col("key_id")) & (F.col("text_hash") == F.col("key_hash")), "left")
+    marked = written(marked.where("first is null or rows > 1").select(F.col("doc_id").alias("key_id"), F.col("text_hash").alias("key_hash"), "first"), "marked")
+    gone, twice = marked.where("first is null").drop("first"), marked.where("first").drop("first")
     hashed = docs.withColumn("__text_hash", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
     same = lambda other: hashed["doc_id"].cast("long").eqNullSafe(other["key_id"]) & (hashed["__text_hash"] == other["key_hash"])
     kept = hashed.join(gone, same(gone), "left_anti")
     if not twice.isEmpty():
-        # one doc_id may head several components, each with its own text
         kept = kept.join(twice, same(twice), "left_anti").union(kept.join(twice, same(twice), "left_semi").dropDuplicates(["doc_id", "__text_hash"]))
     return kept.drop("__text_hash")
 
 
 def op9_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates share a key made of pivot distances, which fingerprints within two bits always do; see the module."""
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
