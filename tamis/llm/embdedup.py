@@ -10,8 +10,8 @@ linking angle of its centre are its core: all their pairs link, which is a count
 comparison.  What lies outside the core is compared with everything in tiles of about
 ``TILE`` classes by a hash; each pair of tiles is one bounded group that returns counts.
 
-Scale: a pass is a range exchange of the classes (all passes are one job); keys end in the
-class number, so a hot label or group spreads over many partitions.  Windows end at a
+Scale: a pass is a range exchange of the classes with their vectors, floats as floats (all
+passes are one job, whose disk is passes times the input); keys end in the class number, so a hot label or group spreads over many partitions.  Windows end at a
 partition's border; the passes have different borders, which the measured recall includes.
 """
 
@@ -31,7 +31,7 @@ from tamis.llm.graph import components, forest
 from tamis.llm.neighbours import usable
 
 MIN_COSINE = 0.98
-PASSES = 12
+PASSES = 8
 WINDOW = 40
 BITS = 64
 TILE = 512
@@ -75,7 +75,7 @@ def _keyed(classes: DataFrame, passes: int) -> DataFrame:
                     ["pass", "label", "size", "key", "id", "vector"],
                 )
 
-    return arrow_map(classes.select("id", "label", "vector"), run, "pass int, label long, size int, key long, id long, vector array<double>")
+    return arrow_map(classes.select("id", "label", "vector"), run, "pass int, label long, size int, key long, id long, vector " + classes.schema["vector"].dataType.simpleString())
 
 
 def _window_links(ordered: DataFrame, min_cosine: float, window: int) -> DataFrame:
@@ -158,7 +158,7 @@ def _with_core(big: DataFrame, min_cosine: float) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(core)], ["id", "weight", "vector", "component", "size", "core"])
 
     joined = big.join(_centres(big), ["component", "size"]).select("id", "weight", "vector", "component", "size", "centre")
-    return arrow_map(joined, run, "id long, weight long, vector array<double>, component long, size int, core boolean")
+    return arrow_map(joined, run, f"id long, weight long, vector {big.schema['vector'].dataType.simpleString()}, component long, size int, core boolean")
 
 
 def _exact_links(classes: DataFrame, found: DataFrame, min_cosine: float, tile: int) -> DataFrame:
@@ -195,7 +195,9 @@ def near_duplicates(rows: DataFrame, min_cosine: float = MIN_COSINE, passes: int
     of one vec_id are one vector (the smallest, of the smallest label) and get its result.
     Other columns are ignored; an empty table gives no rows.
     """
-    every = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), F.col("label").cast("long").alias("label"))
+    # floats are carried as such, and are made doubles where they are compared
+    kind = rows.schema["embedding"].dataType.simpleString()
+    every = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kind if kind == "array<float>" else "array<double>").alias("embedding"), F.col("label").cast("long").alias("label"))
     able = every.where(usable() & F.col("label").isNotNull() & F.col("vec_id").isNotNull())
     vectors = written(able.groupBy("vec_id").agg(F.min(F.struct("label", F.col("embedding").alias("vector"))).alias("v")).select("vec_id", "v.label", "v.vector"), "vectors")
     classes = written(vectors.groupBy("label", "vector").agg(F.min("vec_id").alias("id"), F.count("*").alias("weight")), "classes")
