@@ -5,22 +5,26 @@ Every kind maps a key's hash to a block and to masks of that block's lanes; buil
 is the same aggregation over both.  A filter is a DataFrame (block long, w0..wL-1 long) with
 a ``BloomSpec``; empty blocks are absent.
 
-Probing a filter whose words fit ``BROADCAST_BYTES`` joins its blocks by broadcast; beyond
-that both sides are exchanged by block.  Kinds with one block a key probe without a
-further shuffle; the classic filter spreads a key over its words, so its probes are
-grouped again by key.
+Probing a filter whose words fit ``BROADCAST_BYTES`` takes no exchange: kinds with one block
+a key join it by broadcast, and the classic kinds, which spread a key over all words, look
+their words up in the array of them.  Beyond that both sides are exchanged by block, and
+the classic kinds' probes are grouped again by key.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tamis.functions import hashing as H
 from tamis.functions import sizing as S
+from tamis.operators.sharded import importable
 
 #: Filters up to this size (computed from the spec, not guessed) are broadcast.
 BROADCAST_BYTES = 64 << 20
@@ -173,6 +177,37 @@ def _side(words: DataFrame, s: BloomSpec, limit: int) -> DataFrame:
     return F.broadcast(side) if s.bytes <= limit else side
 
 
+def np_positions(h: np.ndarray, s: BloomSpec) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(word, bit) of each probe, as ``_with_positions``."""
+    for i in range(s.probes):
+        if s.kind == "classic":
+            x = H.np_rotl64(h, 32) + h * np.uint64(i)
+            yield H.np_fastrange64(x, s.blocks), x & np.uint64(63)
+        else:
+            x = ((h & np.uint64(H.MASK32)) + (h >> np.uint64(32)) * np.uint64(i) & np.uint64(H.MASK32)) % np.uint64(s.blocks * 64)
+            yield (x >> np.uint64(6)).astype(np.int64), x & np.uint64(63)
+
+
+def _probe(words: DataFrame, s: BloomSpec) -> Callable[[Column], Column]:
+    """A probe of a filter whose words, of a checked size, are sent to all tasks: no exchange."""
+    importable(words.sparkSession)
+    told, full = words.select("block", "w0").toPandas(), np.zeros(s.blocks, np.int64)
+    full[told["block"].to_numpy(np.int64)] = told["w0"].to_numpy(np.int64)
+    sent = words.sparkSession.sparkContext.broadcast(full.view(np.uint64))
+
+    @F.pandas_udf("boolean")
+    def hit(keys: pd.Series) -> pd.Series:
+        there = keys.notna()
+        h = H.np_murmur64(keys[there].to_numpy(np.int64), s.seed)
+        found, alive = np.zeros(len(h), bool), np.arange(len(h))
+        for word, bit in np_positions(h, s):  # keys leave at their first clear bit
+            alive = alive[(sent.value[word[alive]] >> bit[alive] & np.uint64(1)).astype(bool)]
+        found[alive] = True
+        return pd.Series(found, index=keys.index[there]).reindex(keys.index).astype("boolean")
+
+    return hit
+
+
 def might_contain(df: DataFrame, key: str, words: DataFrame, s: BloomSpec, out: str = "maybe", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """``df`` with the boolean ``out``: false where the key was surely not added; null for a null key."""
     h = hashed(df, key, s)
@@ -185,6 +220,8 @@ def might_contain(df: DataFrame, key: str, words: DataFrame, s: BloomSpec, out:
         found = h.join(side, F.col("__b") == F.col("__block"), "left")
         hit = reduce(lambda a, b: a & b, tests)
         return found.select(*(df[c] for c in df.columns), F.when(df[key].isNotNull(), hit).alias(out))
+    if s.bytes <= broadcast_bytes:
+        return df.withColumn(out, _probe(words, s)(F.col(key).cast("long")))
     # distinct hashes, one row a probe, grouped back
     distinct, at = _with_positions(h.where(f"`{key}` is not null").select(H.never_null(F.col("__h")).alias("__h")).distinct(), s)
     probes = F.array(*(F.struct(w.alias("b"), _shl(b).alias("m")) for w, b in at))
@@ -196,25 +233,6 @@ def might_contain(df: DataFrame, key: str, words: DataFrame, s: BloomSpec, out:
     return h.join(verdict, F.col("__h") == F.col("__k"), "left").select(*(df[c] for c in df.columns), F.when(df[key].isNotNull(), F.col("__hit")).alias(out))
 
 
-def packed(words: DataFrame, s: BloomSpec) -> DataFrame:
-    """One row with the array of all words of a filter of up to ``BROADCAST_BYTES``, for expression probes."""
-    if s.bytes > BROADCAST_BYTES:
-        raise ValueError("the filter is too large for one row; probe it by join")
-    full = dense(words, s)
-    return full.agg(F.transform(F.array_sort(F.collect_list(F.struct("block", "w0"))), lambda x: x["w0"]).alias("__words"))
-
-
-def might_contain_array(df: DataFrame, key: str, words: DataFrame, s: BloomSpec, out: str = "maybe") -> DataFrame:
-    """The classic filter's probe as one expression over the broadcast word array; it stops at the first clear bit."""
-    if s.kind not in ("classic", "legacy"):
-        return might_contain(df, key, words, s, out)
-    h, at = _with_positions(hashed(df, key, s), s)
-    h = h.join(F.broadcast(packed(words, s)))
-    bit = lambda w, b: H.ushr_by(F.get("__words", w.cast("int")), b).bitwiseAND(F.lit(1).cast("long")) == 1
-    hit = reduce(lambda a, b: a & b, (bit(w, b) for w, b in at))
-    return h.select(*(df[c] for c in df.columns), F.when(df[key].isNotNull(), hit).alias(out))
-
-
 def semi_join(df: DataFrame, key: str, words: DataFrame, s: BloomSpec) -> DataFrame:
     """Rows whose key may have been added."""
     return might_contain(df, key, words, s, "__maybe").where("__maybe").drop("__maybe")

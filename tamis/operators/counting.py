@@ -9,14 +9,18 @@ is the same filter here.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tamis.functions import hashing as H
 from tamis.functions import sizing as S
 from tamis.operators.bloom import BROADCAST_BYTES
+from tamis.operators.sharded import importable
 
 
 @dataclass(frozen=True)
@@ -88,13 +92,49 @@ def remove(f: DataFrame, keys: DataFrame, key: str, s: CountingSpec) -> DataFram
     return merge(f, build(keys, key, s, F.lit(-1)))
 
 
+def np_positions(h: np.ndarray, s: CountingSpec) -> Iterator[np.ndarray]:
+    """The position of each probe, as ``_with_positions``."""
+    m, low, high = np.uint64(H.MASK32), h & np.uint64(H.MASK32), h >> np.uint64(32)
+    line = H.np_reduce32(high, s.counters // 512) * 512
+    for i in range(s.probes):
+        if s.kind == "counting":
+            x = high + low * np.uint64(i) & m
+            yield H.np_reduce32(x, s.counters // 16) * 16 + (x & np.uint64(15)).astype(np.int64)
+        elif s.kind == "succinct":
+            x = H.np_rotl64(h, 32) + h * np.uint64(i)
+            yield H.np_fastrange64(x, s.counters // 64) * 64 + (x & np.uint64(63)).astype(np.int64)
+        else:
+            a, b = h & np.uint64(0xFFFF), h >> np.uint64(16) & np.uint64(0xFFFF) | np.uint64(1)
+            yield line + (a + b * np.uint64(i) & np.uint64(511)).astype(np.int64)
+
+
+def _read(f: DataFrame, s: CountingSpec) -> Callable[[Column], Column]:
+    """Reads counters, of a checked size, that are sent to all tasks: no exchange."""
+    importable(f.sparkSession)
+    told, full = f.select("pos", "count").toPandas(), np.zeros(s.counters, np.int64)
+    full[told["pos"].to_numpy(np.int64)] = told["count"].to_numpy(np.int64)
+    sent = f.sparkSession.sparkContext.broadcast(full)
+
+    @F.pandas_udf("long")
+    def least(keys: pd.Series) -> pd.Series:
+        there = keys.notna()
+        h = H.np_murmur64(keys[there].to_numpy(np.int64), s.seed)
+        found = np.full(len(h), np.iinfo(np.int64).max)
+        for at in np_positions(h, s):
+            np.minimum(found, sent.value[at], out=found)
+        return pd.Series(found, index=keys.index[there]).reindex(keys.index).astype("Int64")
+
+    return least
+
+
 def read_count(df: DataFrame, key: str, f: DataFrame, s: CountingSpec, out: str = "estimate", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """``df`` with ``out``: the least of a key's counters, never less than how often it was added; null for null."""
+    if 16 * s.counters <= broadcast_bytes:
+        return df.withColumn(out, _read(f, s)(F.col(key).cast("long")))
     h = H.murmur64(df, key, "__h", s.seed)
     distinct, at = _with_positions(h.where(f"`{key}` is not null").select(H.never_null(F.col("__h")).alias("__h")).distinct(), s)
     each = distinct.select(F.col("__h").alias("__k"), F.explode(F.array(*at)).alias("__p"))
     side = f.select(F.col("pos").alias("__pos"), F.col("count").alias("__count"))
-    side = F.broadcast(side) if 16 * s.counters <= broadcast_bytes else side
     least = each.join(side, F.col("__p") == F.col("__pos"), "left").groupBy("__k").agg(F.min(F.coalesce("__count", F.lit(0))).alias("__least"))
     h = h.withColumn("__h", H.never_null(F.col("__h")))
     return h.join(least, F.col("__h") == F.col("__k"), "left").select(*(df[c] for c in df.columns), F.when(df[key].isNotNull(), F.col("__least")).alias(out))

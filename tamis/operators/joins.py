@@ -15,11 +15,12 @@ def prefiltered_semi_join(df: DataFrame, small: DataFrame, key: str, small_key:
 
 
 def prefiltered_anti_join(df: DataFrame, small: DataFrame, key: str, small_key: str, f: catalog.Filter) -> DataFrame:
-    """Exactly ``left_anti``: rows surely absent skip the join, as do null keys; only the rest is exchanged."""
-    keys = small.select(F.col(small_key).alias("__small")).where("__small is not null").distinct()
-    marked = f.might_contain(df, key, "__maybe")
-    absent = marked.where(~F.coalesce("__maybe", F.lit(False))).drop("__maybe")
-    return absent.unionByName(marked.where("__maybe").drop("__maybe").join(keys, F.col(key) == F.col("__small"), "left_anti"))
+    """Exactly ``left_anti``, in one pass: rows that are surely absent, and null keys, meet no key, and are spread where sides are exchanged."""
+    keys = small.select(F.col(small_key).alias("__small")).where("__small is not null").distinct().withColumn("__zero", F.lit(0))
+    maybe = F.coalesce("__maybe", F.lit(False))
+    spread = F.pmod(F.hash(key) + F.spark_partition_id() * 31, F.lit(1 << 16)) + 1
+    marked = f.might_contain(df, key, "__maybe").withColumn("__part", F.when(maybe, 0).otherwise(spread).cast("int"))
+    return marked.join(keys, (F.col(key) == F.col("__small")) & (F.col("__part") == F.col("__zero")), "left_anti").drop("__maybe", "__part")
 
 
 def prefiltered_join(df: DataFrame, build_side: DataFrame, key: str, build_key: str, f: catalog.Filter, how: str = "inner") -> DataFrame:

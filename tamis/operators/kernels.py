@@ -386,12 +386,10 @@ def _fuse_home(h: np.ndarray, segments: int, segment: int, bits: int) -> tuple[n
     return H.np_reduce32(h >> U(32), segments - 2), (h >> U(16)).astype(np.int64) & segment - 1, _tags(h, bits - 2)
 
 
-def build_cuckoo_fuse(h: np.ndarray, bits: int = 8) -> bytes:
-    segment = min(S.CUCKOO_FUSE_SEGMENT, max(64, 1 << max(0, len(h).bit_length() - 3)))
-    slots = S.cuckoo_fuse_slots(len(h), segment=segment)
-    first, offset, tag = _fuse_home(h, slots // segment, segment, bits)
+def _fuse_insert(table: list[int], segment: int, bits: int, h: np.ndarray) -> None:
+    first, offset, tag = _fuse_home(h, len(table) // segment, segment, bits)
     spreads = [_spread(np.arange(1 << bits - 2), k, segment).tolist() for k in range(3)]
-    table, draw, kicks = [0] * slots, random.Random(slots), 0
+    draw, kicks = random.Random(len(table)), 0
     for s, o, t in zip(first.tolist(), offset.tolist(), tag.tolist(), strict=True):
         k = -1
         while True:
@@ -407,9 +405,23 @@ def build_cuckoo_fuse(h: np.ndarray, bits: int = 8) -> bytes:
             kicks += 1
             if kicks > FUSE_KICKS:
                 raise BuildFailed
+
+
+def build_cuckoo_fuse(h: np.ndarray, bits: int = 8, capacity: int | None = None) -> bytes:
+    n = max(capacity or 0, len(h))
+    segment = min(S.CUCKOO_FUSE_SEGMENT, max(64, 1 << max(0, n.bit_length() - 3)))
+    table = [0] * S.cuckoo_fuse_slots(n, segment=segment)
+    _fuse_insert(table, segment, bits, h)
     return store({"bits": bits, "segment": segment}, table=np.array(table, uint_for(bits)))
 
 
+def add_cuckoo_fuse(payload: bytes, h: np.ndarray) -> bytes:
+    meta, a = load(payload)
+    table = a["table"].tolist()
+    _fuse_insert(table, meta["segment"], meta["bits"], h)
+    return store(meta, table=np.array(table, a["table"].dtype))
+
+
 def _fuse_spots(meta: dict, slots: int, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     segment = meta["segment"]
     first, offset, tag = _fuse_home(h, slots // segment, segment, meta["bits"])
@@ -649,14 +661,14 @@ KERNELS = {
     "fuse": Kernel(build_fuse, in_fuse),
     "ribbon": Kernel(build_ribbon, in_ribbon, _ribbon_bytes),
     "cuckoo": Kernel(build_cuckoo, in_cuckoo, _cuckoo_bytes, add_cuckoo, remove_cuckoo),
-    "cuckoo_fuse": Kernel(build_cuckoo_fuse, in_cuckoo_fuse, remove=remove_cuckoo_fuse),
+    "cuckoo_fuse": Kernel(build_cuckoo_fuse, in_cuckoo_fuse, add=add_cuckoo_fuse, remove=remove_cuckoo_fuse),
     "morton": Kernel(build_morton, in_morton, _morton_bytes, add_morton, remove_morton),
     "two_choice": Kernel(build_two_choice, in_two_choice, lambda p: 64 * len(load(p)[1]["table"]), add_two_choice, remove_two_choice),
 }
 
 
 #: Kinds whose build takes a capacity.
-GROWS = ("cuckoo", "morton", "two_choice")
+GROWS = ("cuckoo", "cuckoo_fuse", "morton", "two_choice")
 
 
 def build(kind: str, keys: np.ndarray, seed: int, params: dict, **more: np.ndarray) -> tuple[bytes, int, int]:
@@ -667,7 +679,7 @@ def build(kind: str, keys: np.ndarray, seed: int, params: dict, **more: np.ndarr
         order = np.argsort(h)
         try:
             # a table that seeds alone do not fit gets a hundredth more room with each attempt
-            room = {"capacity": int(len(keys) * (1 + 0.01 * (attempt - 9)))} if kind in GROWS and attempt >= 10 else {}
+            room = {"capacity": int(max(len(keys), params.get("capacity") or 0) * (1 + 0.01 * (attempt - 9)))} if kind in GROWS and attempt >= 10 else {}
             return KERNELS[kind].build(h[order], **(params | room), **{k: v[order] for k, v in more.items()}), H.signed(now), attempt + 1
         except BuildFailed:
             continue

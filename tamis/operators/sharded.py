@@ -14,10 +14,13 @@ from __future__ import annotations
 import json
 import math
 import os
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,22 +61,34 @@ def as_key(df: DataFrame, *columns: str, out: str = "key") -> DataFrame:
     return df.withColumn(out, F.when(some == 1, F.xxhash64(*columns)))
 
 
-def build(keys: DataFrame, key: str, kind: str, params: dict | None = None, seed: int = 0, shard_keys: int = SHARD_KEYS, values: str | None = None) -> DataFrame:
-    """The filter of the distinct non-null keys; with ``values`` a static function of each key's smallest value."""
-    importable(keys.sparkSession)
+def build(keys: DataFrame, key: str, kind: str, params: dict | None = None, seed: int = 0, shard_keys: int = SHARD_KEYS, values: str | None = None, n: int | None = None) -> DataFrame:
+    """The filter of the distinct non-null keys; with ``values`` a static function of each key's smallest value.
+
+    ``n`` reserves room for so many keys in all: dynamic kinds then take more keys by ``add``.
+    """
+    spark = keys.sparkSession
+    importable(spark)
     params, told = dict(params or {}), json.dumps(params or {}, sort_keys=True)
     rows = keys.select(F.col(key).cast("long").alias("key"), *([F.col(values).cast("long").alias("value")] if values else [])).where("key is not null")
     distinct = rows.groupBy("key").agg(F.min("value").alias("value")) if values else rows.distinct()
-    n = distinct.count()
+    reserved = n is not None and kind in K.GROWS
+    n = n if reserved else distinct.count()
     shards = max(1, math.ceil(n / shard_keys))
+    if reserved:  # the keys of a shard vary by the root of their number
+        params["capacity"] = math.ceil(n / shards + (4 * math.sqrt(n / shards) if shards > 1 else 0))
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
+        shard, rows = int(rows["shard"].iloc[0]), rows[rows["key"].notna()]
         more = {"values": rows["value"].to_numpy(np.int64)} if values else {}
-        payload, used, attempts = K.build(kind, rows["key"].to_numpy(np.int64), seed, params, **more)
-        row = (kind, int(rows["shard"].iloc[0]), shards, len(rows), used, attempts, K.KERNELS[kind].bytes(payload), told, payload)
-        return pd.DataFrame([row], columns=COLUMNS)
+        payload, used, attempts = K.build(kind, rows["key"].astype("int64").to_numpy(), seed, params, **more)
+        return pd.DataFrame([(kind, shard, shards, len(rows), used, attempts, K.KERNELS[kind].bytes(payload), told, payload)], columns=COLUMNS)
 
-    return _with_shard(distinct, "key", shards).groupBy("shard").applyInPandas(one, SCHEMA)
+    placed = _with_shard(distinct, "key", shards)
+    if reserved:  # shards without a key yet are there too
+        placed = placed.unionByName(spark.range(shards).select(F.lit(None).cast("long").alias("key"), F.col("id").cast("int").alias("shard")))
+        # keys travel beside nulls as text: as doubles they would lose digits
+        placed = placed.withColumn("key", F.col("key").cast("string"))
+    return placed.groupBy("shard").applyInPandas(one, SCHEMA)
 
 
 def _contains(kind: str, parts: dict[int, tuple[int, bytes]], shards: int, keys: np.ndarray) -> np.ndarray:
@@ -91,33 +106,53 @@ def size_bytes(f: DataFrame) -> int:
     return f.agg(F.coalesce(F.sum(F.octet_length("payload")), F.lit(0))).first()[0]
 
 
+@contextmanager
+def _kept(f: DataFrame) -> Iterator[DataFrame]:
+    """``f`` cached for some actions; a filter that its owner has cached is left as it is."""
+    own = f.storageLevel == StorageLevel.NONE
+    if own:
+        f.persist()
+    try:
+        yield f
+    finally:
+        if own:
+            f.unpersist()
+
+
+def _sent(f: DataFrame, limit: int) -> list | None:
+    """The rows of a filter of up to ``limit`` bytes."""
+    with _kept(f):
+        return f.select("kind", "shard", "shards", "seed", "payload").collect() if size_bytes(f) <= limit else None
+
+
 def might_contain(df: DataFrame, key: str, f: DataFrame, out: str = "maybe", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """``df`` with the boolean ``out``: false where the key was surely not added; null for a null key."""
+    """``df`` with the boolean ``out``: false where the key was surely not added; null for a null key.
+
+    A filter that is too large to broadcast is read when the result is; write or cache it first.
+    """
     spark = df.sparkSession
     importable(spark)
-    f = f.persist()
-    try:
-        if size_bytes(f) <= broadcast_bytes:
-            rows = f.select("kind", "shard", "shards", "seed", "payload").collect()
-            if not rows:
-                return df.withColumn(out, F.when(F.col(key).isNotNull(), F.lit(False)))
-            kind, shards = rows[0].kind, rows[0].shards
-            sent = spark.sparkContext.broadcast({r.shard: (r.seed, bytes(r.payload)) for r in rows})
-
-            @F.pandas_udf("boolean")
-            def hit(keys: pd.Series) -> pd.Series:
-                there = keys.notna()
-                got = _contains(kind, sent.value, shards, keys[there].to_numpy(np.int64))
-                return pd.Series(got, index=keys.index[there]).reindex(keys.index).astype("boolean")
-
-            return df.withColumn(out, hit(F.col(key).cast("long")))
-        return _by_shard(df, key, f, out)
-    finally:
-        f.unpersist()
+    rows = _sent(f, broadcast_bytes)
+    if rows is None:
+        return _by_shard(df, key, f, out, "boolean", lambda kind, payload, h: K.KERNELS[kind].contains(payload, h), False)
+    if not rows:
+        return df.withColumn(out, F.when(F.col(key).isNotNull(), F.lit(False)))
+    kind, shards = rows[0].kind, rows[0].shards
+    sent = spark.sparkContext.broadcast({r.shard: (r.seed, bytes(r.payload)) for r in rows})
+
+    @F.pandas_udf("boolean")
+    def hit(keys: pd.Series) -> pd.Series:
+        there = keys.notna()
+        got = _contains(kind, sent.value, shards, keys[there].to_numpy(np.int64))
+        return pd.Series(got, index=keys.index[there]).reindex(keys.index).astype("boolean")
+
+    return df.withColumn(out, hit(F.col(key).cast("long")))
 
 
-def _by_shard(df: DataFrame, key: str, f: DataFrame, out: str) -> DataFrame:
-    shards = f.agg(F.max("shards")).first()[0]
+def _by_shard(df: DataFrame, key: str, f: DataFrame, out: str, kind_of: str, ask: Callable[[str, bytes, np.ndarray], np.ndarray], absent: object) -> DataFrame:
+    """Distinct keys and payloads meet shard by shard; ``absent`` is what a key of a missing shard gets."""
+    with _kept(f):
+        shards = f.agg(F.max("shards")).first()[0] or 1
     keys = df.select(F.col(key).cast("long").alias("__key")).where("__key is not null").distinct()
     parts = max(1, math.ceil(keys.count() / shards / PROBE_KEYS))
     probes = _with_shard(keys, "__key", shards).withColumn("part", F.pmod(F.xxhash64("__key"), F.lit(parts)).cast("int"))
@@ -125,22 +160,22 @@ def _by_shard(df: DataFrame, key: str, f: DataFrame, out: str) -> DataFrame:
 
     def one(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
-            return pd.DataFrame({"__key": a["__key"], "__hit": np.zeros(len(a), bool)})
+            return pd.DataFrame({"__key": a["__key"], "__hit": [absent] * len(a)})
         r = b.iloc[0]
-        got = K.KERNELS[r["kind"]].contains(r["payload"], H.np_murmur64(a["__key"].to_numpy(np.int64), int(r["seed"])))
+        got = ask(r["kind"], r["payload"], H.np_murmur64(a["__key"].to_numpy(np.int64), int(r["seed"])))
         return pd.DataFrame({"__key": a["__key"], "__hit": got})
 
-    found = probes.groupBy("shard", "part").cogroup(payloads.groupBy("shard", "part")).applyInPandas(one, "__key long, __hit boolean")
-    return df.join(found, F.col(key).cast("long") == F.col("__key"), "left").select(*(df[c] for c in df.columns), F.col("__hit").alias(out))
+    found = probes.groupBy("shard", "part").cogroup(payloads.groupBy("shard", "part")).applyInPandas(one, f"__key long, __hit {kind_of}")
+    return df.join(found, F.col(key).cast("long") == F.col("__key"), "left").select(*(df[c] for c in df.columns if c != out), F.col("__hit").alias(out))
 
 
-def lookup(df: DataFrame, key: str, f: DataFrame, out: str = "value") -> DataFrame:
-    """``df`` with the static function's value of each key; without meaning for keys not built in."""
+def lookup(df: DataFrame, key: str, f: DataFrame, out: str = "value", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` with the static function's value of each key; without meaning for keys not built in, null for a null key."""
     spark = df.sparkSession
     importable(spark)
-    if size_bytes(f) > BROADCAST_BYTES:
-        raise ValueError("the static function is too large to broadcast; join it by shard")
-    rows = f.select("shard", "shards", "seed", "payload").collect()
+    rows = _sent(f, broadcast_bytes)
+    if rows is None:
+        return _by_shard(df, key, f, out, "long", lambda _, payload, h: K.ribbon_values(payload, h), 0)
     shards = rows[0].shards if rows else 1
     sent = spark.sparkContext.broadcast({r.shard: (r.seed, bytes(r.payload)) for r in rows})
 
@@ -158,16 +193,21 @@ def lookup(df: DataFrame, key: str, f: DataFrame, out: str = "value") -> DataFra
     return df.withColumn(out, value(F.col(key).cast("long")))
 
 
-def _update(f: DataFrame, keys: DataFrame, key: str, change: str) -> DataFrame:
+FULL = "not enough space"
+
+
+def _update(f: DataFrame, keys: DataFrame, key: str, change: str, attempt: bool = False) -> DataFrame:
+    """The filter after a change by the distinct keys; an attempt has a column ``status``, and leaves full shards as they were."""
     importable(f.sparkSession)
-    shards = f.agg(F.max("shards")).first()[0]
-    rows = _with_shard(keys.select(F.col(key).cast("long").alias("key")).where("key is not null"), "key", shards)
+    with _kept(f):
+        shards = f.agg(F.max("shards")).first()[0]
+    rows = _with_shard(keys.select(F.col(key).cast("long").alias("key")).where("key is not null").distinct(), "key", shards)
     sign = 1 if change == "add" else -1
 
     def one(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a):
-            raise ValueError("a shard of the filter is missing; build it with these keys")
-        r = a.iloc[0].copy()
+            raise ValueError("a shard of the filter is missing; build it with these keys, or reserve it by n")
+        r, status = a.iloc[0].copy(), "ok"
         if len(b):
             kernel = K.KERNELS[r["kind"]]
             function = kernel.add if change == "add" else kernel.remove
@@ -175,21 +215,29 @@ def _update(f: DataFrame, keys: DataFrame, key: str, change: str) -> DataFrame:
                 raise ValueError(f"{r['kind']} cannot {change}")
             try:
                 payload = function(r["payload"], np.sort(H.np_murmur64(b["key"].to_numpy(np.int64), int(r["seed"]))))
+                r["payload"], r["n"], r["bytes"] = payload, r["n"] + sign * len(b), kernel.bytes(payload)
             except K.BuildFailed:
-                raise RuntimeError("not enough space") from None
-            r["payload"], r["n"], r["bytes"] = payload, r["n"] + sign * len(b), kernel.bytes(payload)
-        return pd.DataFrame([r], columns=COLUMNS)
+                if not attempt:
+                    raise RuntimeError(FULL) from None
+                status = FULL
+        out = pd.DataFrame([r], columns=COLUMNS)
+        return out.assign(status=status) if attempt else out
 
-    return f.groupBy("shard").cogroup(rows.groupBy("shard")).applyInPandas(one, SCHEMA)
+    return f.select(*COLUMNS).groupBy("shard").cogroup(rows.groupBy("shard")).applyInPandas(one, SCHEMA + ", status string" * attempt)
 
 
 def add(f: DataFrame, keys: DataFrame, key: str) -> DataFrame:
-    """The filter with more keys; dynamic kinds only. Raises when a shard is full."""
+    """The filter with more distinct keys; dynamic kinds only. Raises when a shard is full."""
     return _update(f, keys, key, "add")
 
 
+def add_attempt(f: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """As ``add``, with each shard's ``status``: "ok", or "not enough space" where none of its keys was added."""
+    return _update(f, keys, key, "add", True)
+
+
 def remove(f: DataFrame, keys: DataFrame, key: str) -> DataFrame:
-    """The filter without keys that were added; dynamic kinds only."""
+    """The filter without distinct keys that were added; dynamic kinds only."""
     return _update(f, keys, key, "remove")
 
 

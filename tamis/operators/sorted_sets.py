@@ -8,6 +8,7 @@ a spare filter, which is asked only for codes beyond the largest of a bin that o
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -140,6 +141,33 @@ def prefix_build(keys: DataFrame, key: str, s: PrefixSpec) -> tuple[DataFrame, D
     return first, ranked.where(F.col("__r") > s.places).select("key")
 
 
+def prefix_overflow(s: PrefixSpec) -> int:
+    """Keys that a filter of ``s.n`` keys hands to its spare, with room for chance: a bin's keys follow the Poisson law."""
+    load = s.n / s.bins
+    chance, over = math.exp(-load), 0.0
+    for k in range(1, 4 * s.places + int(4 * load)):
+        chance *= load / k
+        over += max(0, k - s.places) * chance
+    return math.ceil(s.bins * over * 1.1 + 64)
+
+
+def prefix_add(first: DataFrame, keys: DataFrame, key: str, s: PrefixSpec) -> tuple[DataFrame, DataFrame]:
+    """The first level with more keys, and those that overflow. ``largest`` becomes the least code that the spare is asked for."""
+    h = H.murmur64(keys.select(F.col(key).cast("long").alias("key")).where("key is not null").distinct(), "key", "__h", s.seed)
+    bin_, code = prefix_codes(F.col("__h"), s)
+    new = h.select(H.never_null(F.col("key")).alias("key"), H.never_null(bin_).alias("bin"), H.never_null(code).alias("code")).join(first.select("bin", F.col("codes").alias("held")), "bin", "left")
+    new = new.where(~F.coalesce(F.array_contains("held", F.col("code")), F.lit(False)))
+    fits = F.row_number().over(W.partitionBy("bin").orderBy("code", "key")) + F.coalesce(F.size("held"), F.lit(0)) <= s.places
+    ranked = new.withColumn("fits", fits)
+    change = ranked.groupBy("bin").agg(F.collect_list(F.when(F.col("fits"), F.col("code"))).alias("more"), F.min(F.when(~F.col("fits"), F.col("code"))).alias("least"))
+    none = F.array().cast(first.schema["codes"].dataType)
+    codes = F.array_sort(F.concat(F.coalesce("codes", none), F.coalesce(F.col("more").cast(first.schema["codes"].dataType), none)))
+    over = F.coalesce("overflow", F.lit(False))
+    asked = F.when(over | F.col("least").isNotNull(), F.least(F.when(over, F.col("largest")), F.col("least"))).otherwise(F.array_max(codes))
+    joined = first.join(change, "bin", "full").select(H.never_null(F.col("bin")).alias("bin"), codes.alias("codes"), (over | F.col("least").isNotNull()).alias("overflow"), asked.alias("largest"))
+    return joined, ranked.where(~F.col("fits")).select("key")
+
+
 def prefix_might_contain(df: DataFrame, key: str, first: DataFrame, s: PrefixSpec, spare: Callable[[DataFrame, str, str], DataFrame], out: str = "maybe", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """``spare(df, key, out)`` adds the spare filter's answer."""
     side = first.select(F.col("bin").alias("__bin"), F.col("codes").alias("__codes"), F.col("overflow").alias("__over"), F.col("largest").alias("__top"))

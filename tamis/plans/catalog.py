@@ -62,23 +62,42 @@ class Filter:
         return Filter(self.family, self.spec, rows, self.n + by, self.more)
 
     def add(self, keys: DataFrame, key: str) -> Filter:
+        """With the distinct non-null keys; a key that is there already counts again."""
+        more = _distinct(keys, key)
         if self.family == "bloom":
-            return self._changed(bloom.merge(self.rows, bloom.build(keys, key, self.spec)), keys.count())
+            return self._changed(bloom.merge(self.rows, bloom.build(keys, key, self.spec)), more)
         if self.family == "counting":
-            return self._changed(counting.add(self.rows, keys, key, self.spec), keys.count())
+            return self._changed(counting.add(self.rows, keys, key, self.spec), more)
         if self.family == "quotient":
-            return self._changed(quotient.insert(self.rows, quotient.build(keys, key, self.spec)), keys.count())
+            return self._changed(quotient.insert(self.rows, quotient.build(keys, key, self.spec)), more)
+        if self.family == "prefix":
+            first, over = sorted_sets.prefix_add(self.rows, keys, key, self.spec)
+            # both are read several times by what follows; without a cache each further add would plan all before it anew
+            first, over = first.persist(), over.persist()
+            return Filter(self.family, self.spec, first, self.n + more, {**self.more, "spare": self.more["spare"].add(over, "key")})
         if self.family == "sharded" and self.more["kernel"].add:
-            return self._changed(sharded.add(self.rows, keys, key), keys.count())
+            return self._changed(sharded.add(self.rows, keys, key), more)
         raise Unsupported("add")
 
+    def add_attempt(self, keys: DataFrame, key: str) -> tuple[Filter, DataFrame]:
+        """The filter with the keys that found room, and (shard, status): "ok" or "not enough space". Kinds without an end of room are always "ok"."""
+        if self.family != "sharded":
+            made = self.add(keys, key)
+            return made, self.rows.sparkSession.createDataFrame([(0, "ok")], "shard int, status string")
+        if not self.more["kernel"].add:
+            raise Unsupported("add")
+        tried = sharded.add_attempt(self.rows, keys, key).persist()
+        n = tried.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        return self._changed(tried.drop("status"), n - self.n), tried.select("shard", "status")
+
     def remove(self, keys: DataFrame, key: str) -> Filter:
+        less = -_distinct(keys, key)
         if self.family == "counting":
-            return self._changed(counting.remove(self.rows, keys, key, self.spec), -keys.count())
+            return self._changed(counting.remove(self.rows, keys, key, self.spec), less)
         if self.family == "quotient":
-            return self._changed(quotient.remove(self.rows, quotient.build(keys, key, self.spec)), -keys.count())
+            return self._changed(quotient.remove(self.rows, quotient.build(keys, key, self.spec)), less)
         if self.family == "sharded" and self.more["kernel"].remove:
-            return self._changed(sharded.remove(self.rows, keys, key), -keys.count())
+            return self._changed(sharded.remove(self.rows, keys, key), less)
         raise Unsupported("remove")
 
     def merge(self, other: Filter) -> Filter:
@@ -114,13 +133,28 @@ def load(spark, path: str) -> Filter:
     return Filter(told["family"], kind(**told["spec"]) if kind else None, rows, told["n"], more)
 
 
+def _distinct(keys: DataFrame, key: str) -> int:
+    return keys.select(key).where(F.col(key).isNotNull()).distinct().count()
+
+
+#: A user's own kinds: name to a function (keys, key) -> Filter.
+CUSTOM: dict[str, Callable[[DataFrame, str], Filter]] = {}
+
+
+def register(name: str, make: Callable[[DataFrame, str], Filter]) -> None:
+    """Makes ``build(name, keys, key)`` call ``make(keys, key)``."""
+    CUSTOM[name] = make
+
+
 # --- building ------------------------------------------------------------------------------
 
 
 def build(family: str, keys: DataFrame, key: str, kind: str = "", n: int | None = None, seed: int = 0, **params) -> Filter:
-    """A filter of the distinct non-null keys. ``n`` sizes it for more keys than are there now."""
-    if n is None:
-        n = keys.select(key).where(F.col(key).isNotNull()).distinct().count()
+    """A filter of the distinct non-null keys. ``n`` sizes it for more keys than are there now (static kinds are of the
+    keys that are there). ``family`` may be the name of a registered kind."""
+    if family in CUSTOM:
+        return CUSTOM[family](keys, key)
+    asked, n = n, _distinct(keys, key) if n is None else n
     if family == "bloom":
         s = bloom.spec(kind, n, params.get("bits_per_key", 10), seed)
         return Filter(family, s, bloom.build(keys, key, s), n)
@@ -137,9 +171,10 @@ def build(family: str, keys: DataFrame, key: str, kind: str = "", n: int | None
         s = sorted_sets.prefix_spec(n, seed)
         first, over = sorted_sets.prefix_build(keys, key, s)
         of, more = {"two_choice": ("sharded", {"kind": "two_choice"}), "cuckoo": ("sharded", {"kind": "cuckoo", "bits": 12}), "blocked": ("bloom", {"kind": "block32"})}[kind]
-        return Filter(family, s, first, n, {"spare": build(of, over, "key", seed=seed + 1, **more)})
+        room = {} if asked is None else {"n": sorted_sets.prefix_overflow(s)}
+        return Filter(family, s, first, n, {"spare": build(of, over, "key", seed=seed + 1, **more, **room)})
     if family == "sharded":
-        return Filter(family, None, sharded.build(keys, key, kind, params, seed), n, {"kernel": sharded.K.KERNELS[kind]})
+        return Filter(family, None, sharded.build(keys, key, kind, params, seed, n=asked), n, {"kernel": sharded.K.KERNELS[kind]})
     raise ValueError(f"unknown family {family}")
 
 
@@ -159,8 +194,8 @@ class Algorithm:
         made.more["algorithm"] = self
         return made
 
-    def expected_rate(self) -> float | None:
-        """By the published formulas; None where only measurement tells."""
+    def expected_rate(self) -> float:
+        """By the published formulas, or, for block and counting kinds, of their design at full load."""
         p = dict(self.params)
         if self.kind in ("xor", "fuse"):
             return 2.0 ** -p["bits"]
@@ -168,9 +203,20 @@ class Algorithm:
             return S.ribbon_rate(p["columns"])
         if self.kind == "classic":
             return S.bloom_rate(1, p["bits_per_key"], S.bloom_probes(p["bits_per_key"]))
-        if self.family == "sharded" and self.kind == "cuckoo":
+        if self.kind == "cuckoo" and self.family == "sharded":
             return S.cuckoo_rate(p["bits"])
-        return 16 / 2.0**12 if self.family == "gcs" else None
+        if self.kind == "cuckoo_fuse":  # three spots, each with a tag of two bits less and the spot's own number
+            return 3 / 2.0 ** (p["bits"] - 2)
+        if self.family == "quotient":
+            return 2.0 ** -p["remainder_bits"]
+        return DESIGN_RATES[self.kind or self.family]
+
+
+#: Share of keys not added that a kind without a formula above finds, at full load.
+DESIGN_RATES = {
+    "gcs": 2.0**-8, "two_choice": 0.006, "cuckoo": 0.006, "blocked": 0.012, "simple": 0.037, "block32": 0.0105, "block64": 0.0105, "bytes16": 0.0125,
+    "counting": 0.0115, "succinct": 0.0115, "blocked_rank": 0.0135, "morton": 0.006,
+}
 
 
 def _algorithms() -> list[Algorithm]:
@@ -240,11 +286,3 @@ def parse_ids(text: str) -> list[int]:
         low, dash, high = part.partition("-")
         out += [i for i in range(int(low), int(high) + 1) if i in ALGORITHMS or i == SORT_ID] if dash else [int(low)]
     return list(dict.fromkeys(out))
-
-
-#: A user's own kinds: name to a function (keys, key) -> Filter.
-CUSTOM: dict[str, Callable[[DataFrame, str], Filter]] = {}
-
-
-def register(name: str, make: Callable[[DataFrame, str], Filter]) -> None:
-    CUSTOM[name] = make

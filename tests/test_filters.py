@@ -138,3 +138,66 @@ def test_benchmark_report(spark):
 def test_ids():
     assert catalog.parse_ids("0,2,40-42, 11") == [0, 2, 40, 41, 42, 11] and len(catalog.parse_ids("all")) == len(catalog.ALGORITHMS)
     assert all(i in catalog.ALGORITHMS or i == catalog.SORT_ID for i in catalog.DEFAULT_IDS)
+
+
+def test_probing_leaves_the_owners_cache(keys):
+    for number in (0, 3086):
+        f = catalog.ALGORITHMS[number].build(keys, "key")
+        f.rows = f.rows.persist()
+        f.semi_join(keys, "key").count()
+        sharded.might_contain(keys, "key", f.rows, broadcast_bytes=0).count()
+        assert f.rows.storageLevel.useMemory
+        f.rows.unpersist()
+
+
+@pytest.mark.parametrize("number", [11, 14, 18, 32, 35, 36, 37, 51, 60, 80])
+def test_reserve_then_add(spark, keys, absent, number):
+    f = catalog.ALGORITHMS[number].build(keys.limit(0), "key", 3000)
+    for part in range(3):
+        some = keys.where(f"pmod(key, 3) = {part}")
+        f = f.add(some.unionByName(some).unionByName(spark.createDataFrame([(None,)], "key long")), "key")
+    assert f.semi_join(keys, "key").count() == 3000
+    assert benchmark.false_positive_rate(f, absent, keys).first().rate <= 0.04
+
+
+def test_status_of_an_attempt(keys, absent):
+    f = catalog.ALGORITHMS[11].build(keys, "key")
+    more, status = f.add_attempt(absent, "key")
+    assert [r.status for r in status.collect()] == ["not enough space"] and more.n == 3000 and more.semi_join(keys, "key").count() == 3000
+    with pytest.raises(Exception, match="not enough space"):
+        f.add(absent, "key").rows.count()
+    room, status = catalog.ALGORITHMS[11].build(keys, "key", 10_000).add_attempt(absent, "key")
+    assert [r.status for r in status.collect()] == ["ok"] and room.n == 9000 and room.semi_join(absent, "key").count() == 6000
+    with pytest.raises(catalog.Unsupported):
+        catalog.ALGORITHMS[0].build(keys, "key").add_attempt(absent, "key")
+
+
+@pytest.mark.parametrize("number", [41, 60, 61, 62])
+def test_array_and_join_probes_agree(keys, absent, number):
+    f = catalog.ALGORITHMS[number].build(keys, "key")
+    probe, rows = bloom.might_contain if f.family == "bloom" else counting.read_count, keys.unionByName(absent)
+    a, b = (probe(rows, "key", f.rows, f.spec, "x", broadcast_bytes=x) for x in (1 << 30, 0))
+    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+
+
+def test_static_function_by_shard(spark, keys):
+    told = keys.withColumn("value", F.pmod("key", F.lit(200)))
+    f = sharded.build(told, "key", "ribbon", {"columns": 8, "variant": "standard", "min_pad": 0.1}, shard_keys=500, values="value")
+    rows = told.unionByName(spark.createDataFrame([(None, None)], "key long, value long"))
+    got = sharded.lookup(rows.withColumnRenamed("value", "want"), "key", f, broadcast_bytes=0)
+    assert got.where(~F.col("want").eqNullSafe(F.col("value"))).count() == 0 and got.count() == 3001
+
+
+def test_anti_join_takes_one_pass(keys, absent):
+    f = catalog.ALGORITHMS[51].build(keys, "key")
+    rows = keys.unionByName(absent).withColumn("x", F.lit(1))
+    got = joins.prefiltered_anti_join(rows, keys, "key", "key", f)
+    assert got.columns == ["key", "x"] and got.count() == 6000 and got.join(keys, "key", "left_semi").count() == 0
+
+
+def test_registered_kinds_are_built(keys):
+    catalog.register("mine", lambda rows, key: catalog.build("bloom", rows, key, "block32"))
+    try:
+        assert catalog.build("mine", keys, "key").semi_join(keys, "key").count() == 3000
+    finally:
+        del catalog.CUSTOM["mine"]
