@@ -205,8 +205,8 @@ class Algorithm:
             return S.bloom_rate(1, p["bits_per_key"], S.bloom_probes(p["bits_per_key"]))
         if self.kind == "cuckoo" and self.family == "sharded":
             return S.cuckoo_rate(p["bits"])
-        if self.kind == "cuckoo_fuse":  # three spots, each with a tag of two bits less and the spot's own number
-            return 3 / 2.0 ** (p["bits"] - 2)
+        if self.kind == "cuckoo_fuse":  # three spots, of which one in three holds a tag with the spot's own number
+            return 1 / 2.0 ** (p["bits"] - 2)
         if self.family == "quotient":
             return 2.0 ** -p["remainder_bits"]
         return DESIGN_RATES[self.kind or self.family]
