@@ -343,7 +343,7 @@ def extract(pages: DataFrame, min_importance: float = MIN_IMPORTANCE, prior_page
     not merged with others. Repeated rows stay and count as one page in the trees; other
     columns are ignored; an empty table gives no rows.
     """
-    blocks = written(parse(pages), "blocks")
+    blocks = written(parse(pages), "blocks", "zstd")
     low = written(low_branches(blocks, min_importance, prior_pages), "branches")
     need = ["page_id", "url", "host", "branches", "texts", "levels", "cuts", "inside", "articles", "seen"]
     if low.count() <= broadcast_branches:
