@@ -19,6 +19,7 @@ grouped by origin; a group is one record.
 
 from __future__ import annotations
 
+import base64
 import gzip
 import hashlib
 from collections.abc import Iterator
@@ -35,6 +36,8 @@ CHUNK_BYTES = 4096
 REVISIT_BYTES = 1000
 #: Pages in a file, at most; a reader holds a file in memory.
 PAGES_PER_FILE = 4096
+#: Types of records whose block is an HTTP message; the block of others is the payload.
+HTTP = ("response", "revisit", "request")
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORDS = "record_id string, page_id long, uri string, type string, digest string, refers_to long, origin string, segment long, total long, block binary, error string"
@@ -109,6 +112,19 @@ def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         at = end + 4 + n
 
 
+def _hex(told: str) -> str | None:
+    """A SHA-1 digest in hexadecimal, of one in hexadecimal or, as is usual, base32; None for others."""
+    kind, _, value = told.rpartition(":")
+    if kind.lower() not in ("", "sha1"):
+        return None
+    if len(value) == 32:
+        try:
+            return base64.b32decode(value.upper()).hex()
+        except ValueError:
+            return None
+    return value.lower() or None
+
+
 def _number(headers: dict[str, str], name: str) -> int | None:
     return int(headers[name]) if name in headers else None
 
@@ -155,7 +171,7 @@ def _parsed(files: DataFrame, complete: bool) -> DataFrame:
                 data = content.as_py()
                 rows, open_ = [], {}
                 for h, block in parse(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data):
-                    digest = h.get("warc-payload-digest", "").removeprefix("sha1:") or None
+                    digest = _hex(h.get("warc-payload-digest", ""))
                     own, origin, segment = h.get("warc-record-id"), h.get("warc-segment-origin-id"), _number(h, "warc-segment-number")
                     row = [own, _number(h, "x-page-id"), h.get("warc-target-uri"), h.get("warc-type"), digest, _number(h, "x-refers-to-page-id"), origin or own, segment, _number(h, "warc-segment-total-length"), block, None]
                     if segment is None:
@@ -184,7 +200,7 @@ def _decoded(records: DataFrame) -> DataFrame:
             for kind, digest, block, error in zip(b.column(3).to_pylist(), b.column(4).to_pylist(), b.column(9).to_pylist(), b.column(10).to_pylist(), strict=True):
                 payload, n = None, None
                 if error is None:
-                    head, _, body = block.partition(b"\r\n\r\n")
+                    head, _, body = block.partition(b"\r\n\r\n") if kind in HTTP else (b"", b"", block)
                     fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(b":") for x in head.split(b"\r\n")[1:])}
                     try:
                         if kind == "revisit":

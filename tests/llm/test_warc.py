@@ -72,3 +72,19 @@ def test_sql_gives_the_same(spark, small):
     got = warc.op4_warc_segments(spark, small).select(*columns).collect()
     want = con.sql(f"select {', '.join(columns)} from ({warc.OP4_SQL})").fetchall()
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+
+
+def test_archives_of_others(spark, tmp_path):
+    import base64
+    import gzip
+    import hashlib
+
+    body = b"<p>text"
+    sha = hashlib.sha1(body).digest()
+    record = lambda kind, block, *more: warc._record([("WARC-Type", kind), ("WARC-Record-ID", f"<urn:{kind}>"), *more], block)
+    http = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n" + warc.chunked(body, 3)
+    records = [record("warcinfo", b"software: x\r\n\r\n"), record("response", http, ("WARC-Payload-Digest", "sha1:" + base64.b32encode(sha).decode())), record("resource", body, ("WARC-Payload-Digest", f"sha1:{sha.hex().upper()}"))]
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(gzip.compress(r + b"\r\n\r\n") for r in records))  # each record is a member of its own
+    got = {r.type: r for r in warc.read(spark, str(tmp_path)).collect()}
+    assert all(r.error is None for r in got.values())
+    assert got["response"].payload == body == got["resource"].payload and got["warcinfo"].payload == b"software: x\r\n\r\n"
