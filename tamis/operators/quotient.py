@@ -160,9 +160,10 @@ def magnitude(f: DataFrame) -> DataFrame:
     return f.agg(F.sqrt(F.coalesce(F.sum(F.col("count") * F.col("count")), F.lit(0)).cast("double")).alias("magnitude"))
 
 
-def intersect(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Pairs in both, with the first filter's counts."""
-    return a.join(b.select(*KEY), KEY, "left_semi")
+def intersect(a: DataFrame, b: DataFrame, a_bytes: int = 0, b_bytes: int = 0) -> DataFrame:
+    """Pairs in both, with the counts of the filter of more bytes (of one size: the second's)."""
+    small, large = (b, a) if a_bytes > b_bytes else (a, b)
+    return large.join(small.select(*KEY), KEY, "left_semi")
 
 
 def resize(f: DataFrame, s: QuotientSpec, quotient_bits: int) -> tuple[DataFrame, QuotientSpec]:

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import math
 import time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamis.functions import hashing as H
 from tamis.functions import sizing as S
 from tamis.operators import kernels as K
 from tamis.operators import sharded
@@ -140,11 +138,3 @@ def load_histogram(f: DataFrame) -> DataFrame:
                 yield pd.DataFrame({"load": values, "buckets": counts})
 
     return f.select("payload").mapInPandas(run, "load long, buckets long").groupBy("load").agg(F.sum("buckets").alias("buckets"))
-
-
-def seeds_tried(seed: int, attempts: int) -> list[int]:
-    return [H.signed(H.reseed(seed, i)) for i in range(attempts)]
-
-
-def expected_attempts(failure_rate: float) -> float:
-    return 1 / (1 - failure_rate) if failure_rate < 1 else math.inf

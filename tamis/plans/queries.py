@@ -329,20 +329,33 @@ for _kind in ("counting", "succinct", "blocked", "blocked_rank"):
 
 # --- counting quotient filter --------------------------------------------------------------
 
-CQF = quotient.QuotientSpec(12)
-MASK = (1 << CQF.key_bits) - 1
+def _cqf(spark: SparkSession, d: str, **more) -> quotient.QuotientSpec:
+    """A size for the table's distinct users."""
+    return quotient.spec(distinct_count(read(spark, d, "events").select("user_id").dropna()), **more)
 
 
-def _qf(spark: SparkSession, d: str, where: str = "true") -> DataFrame:
-    return quotient.build(read(spark, d, "events").where(where), "user_id", CQF)
+#: The same in SQL: log2 of the slots, and the mask of a hash.
+QBITS = "(SELECT min(q) FROM range(1, 50) r(q), (SELECT greatest(count(DISTINCT user_id), 1) AS n FROM events) WHERE 0.9 * (1::BIGINT << q) >= n)"
+MASK = f"((1::BIGINT << ({QBITS} + 8)) - 1)"
+
+
+def _qf(spark: SparkSession, d: str, where: str = "true", s: quotient.QuotientSpec | None = None) -> DataFrame:
+    return quotient.build(read(spark, d, "events").where(where), "user_id", s or _cqf(spark, d))
+
+
+def _qfs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Two filters with one spec; together they have all events."""
+    s = _cqf(spark, d)
+    return _qf(spark, d, A, s), _qf(spark, d, B, s)
 
 
 def qf_sql(where: str, name: str, mask: bool = True) -> str:
-    h = f"(h & {MASK})::BIGINT" if mask else H.sql_i64("h")
+    h = f"(h & {MASK}::UBIGINT)::BIGINT" if mask else H.sql_i64("h")
     return f"{H.sql_hashes(f'SELECT user_id AS key FROM events WHERE {where}', 0, name + '_h')}, {name} AS (SELECT {h} AS hash, 0::BIGINT AS value, count(*) AS count FROM {name}_h GROUP BY 1)"
 
 
-A, B = "event_id % 3 <> 0", "event_id % 2 = 0"
+TYPES = ("click", "error", "purchase", "signup", "view")
+A, B = "event_type IN ('click', 'error', 'purchase')", "coalesce(event_type, '') NOT IN ('click', 'error')"
 AB = f"{qf_sql(A, 'a')}, {qf_sql(B, 'b')}"
 
 
@@ -353,79 +366,96 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 @query("cqf_build_invertible", "SELECT user_id AS key, count(*) AS count FROM events GROUP BY user_id")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    s = quotient.QuotientSpec(12, mode="invertible", seed=9)
+    s = _cqf(spark, d, mode="invertible", seed=9)
     f = quotient.build(read(spark, d, "events"), "user_id", s)
     return f.select(quotient.original_key(F.col("hash"), s).alias("key"), "count")
 
 
 @query("cqf_build_none", f"SELECT (user_id & {MASK}) AS hash, 0::BIGINT AS value, count(*) AS count FROM events GROUP BY 1")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return quotient.build(read(spark, d, "events"), "user_id", quotient.QuotientSpec(12, mode="none"))
+    return quotient.build(read(spark, d, "events"), "user_id", _cqf(spark, d, mode="none"))
 
 
-@query("cqf_values", f"WITH {H.sql_hashes('SELECT user_id AS key, length(event_type) AS v, event_id FROM events')} SELECT (h & {MASK})::BIGINT AS hash, v::BIGINT AS value, sum(event_id % 5 + 1)::BIGINT AS count FROM h GROUP BY 1, 2")
+@query("cqf_values", f"WITH {H.sql_hashes('SELECT user_id AS key, length(event_type) AS v, event_id FROM events')} SELECT (h & {MASK}::UBIGINT)::BIGINT AS hash, v::BIGINT AS value, sum(event_id % 5 + 1)::BIGINT AS count FROM h GROUP BY 1, 2")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return quotient.build(read(spark, d, "events"), "user_id", CQF, F.length("event_type"), F.col("event_id") % 5 + 1)
+    return quotient.build(read(spark, d, "events"), "user_id", _cqf(spark, d), F.length("event_type"), F.col("event_id") % 5 + 1)
 
 
 @query("cqf_merge", f"WITH {AB} SELECT hash, value, sum(count)::BIGINT AS count FROM (FROM a UNION ALL FROM b) GROUP BY ALL")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return quotient.merge(_qf(spark, d, A), _qf(spark, d, B))
+    return quotient.merge(*_qfs(spark, d))
 
 
 @query("cqf_multi_merge", f"WITH {qf_sql('true', 'a')} SELECT hash, value, count FROM a")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return quotient.merge(*(_qf(spark, d, f"event_id % 4 = {i}") for i in range(4)))
+    s = _cqf(spark, d)
+    others = _qf(spark, d, f"event_type IS NULL OR event_type NOT IN {TYPES}", s)
+    return quotient.merge(*(_qf(spark, d, f"event_type = '{t}'", s) for t in TYPES), others)
 
 
 @query("cqf_insert", f"WITH {AB} SELECT hash, value, sum(count)::BIGINT AS count FROM (FROM a UNION ALL FROM b) GROUP BY ALL")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return quotient.insert(_qf(spark, d, A), _qf(spark, d, B))
+    return quotient.insert(*_qfs(spark, d))
 
 
 @query("cqf_set_count", f"WITH {AB} SELECT hash, value, coalesce(b.count, a.count) AS count FROM a FULL JOIN b USING (hash, value)")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return quotient.set_count(_qf(spark, d, A), _qf(spark, d, B))
+    return quotient.set_count(*_qfs(spark, d))
 
 
 @query("cqf_remove", f"WITH {AB} SELECT hash, value, a.count - coalesce(b.count, 0) AS count FROM a LEFT JOIN b USING (hash, value) WHERE a.count > coalesce(b.count, 0)")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return quotient.remove(_qf(spark, d, A), _qf(spark, d, B))
+    return quotient.remove(*_qfs(spark, d))
+
 
+LEFT = "SELECT c_custkey AS key FROM customer WHERE c_mktsegment = 'BUILDING'"
 
-@query("cqf_delete", f"WITH {qf_sql('true', 'a')}, {qf_sql('user_id < 50', 'b')} SELECT hash, value, count FROM a ANTI JOIN b USING (hash, value)")
+
+@query("cqf_delete", f"WITH {qf_sql('true', 'a')}, {H.sql_hashes(LEFT, 0, 'p')}, b AS (SELECT (h & {MASK}::UBIGINT)::BIGINT AS hash, 0::BIGINT AS value FROM p) SELECT hash, value, count FROM a ANTI JOIN b USING (hash, value)")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return quotient.delete(_qf(spark, d), _qf(spark, d, "user_id < 50"))
+    s = _cqf(spark, d)
+    left = read(spark, d, "customer").where("c_mktsegment = 'BUILDING'")
+    return quotient.delete(_qf(spark, d, s=s), quotient.build(left, "c_custkey", s))
 
 
-@query("cqf_count", f"WITH {qf_sql('true', 'a')}, {H.sql_hashes('SELECT c_custkey AS key FROM customer', 0, 'p')} SELECT key, coalesce(count, 0) AS count FROM p LEFT JOIN a ON hash = (h & {MASK})::BIGINT")
+@query("cqf_count", f"WITH {qf_sql('true', 'a')}, {H.sql_hashes('SELECT c_custkey AS key FROM customer', 0, 'p')} SELECT key, coalesce(count, 0) AS count FROM p LEFT JOIN a ON hash = (h & {MASK}::UBIGINT)::BIGINT")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return quotient.count_key_value(read(spark, d, "customer").select(F.col("c_custkey").alias("key")), "key", _qf(spark, d), CQF)
+    s = _cqf(spark, d)
+    return quotient.count_key_value(read(spark, d, "customer").select(F.col("c_custkey").alias("key")), "key", _qf(spark, d, s=s), s)
 
 
-@query("cqf_query", f"WITH {qf_sql('true', 'a')}, {H.sql_hashes('SELECT c_custkey AS key FROM customer', 0, 'p')} SELECT key, value, coalesce(count, 0) AS count, CASE WHEN value IS NULL THEN -3 ELSE 0 END::INT AS status FROM p LEFT JOIN a ON hash = (h & {MASK})::BIGINT")
+@query("cqf_query", f"WITH {qf_sql('true', 'a')}, {H.sql_hashes('SELECT c_custkey AS key FROM customer', 0, 'p')} SELECT key, value, coalesce(count, 0) AS count, CASE WHEN value IS NULL THEN -3 ELSE 0 END::INT AS status FROM p LEFT JOIN a ON hash = (h & {MASK}::UBIGINT)::BIGINT")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return quotient.query(read(spark, d, "customer").select(F.col("c_custkey").alias("key")), "key", _qf(spark, d), CQF)
+    s = _cqf(spark, d)
+    return quotient.query(read(spark, d, "customer").select(F.col("c_custkey").alias("key")), "key", _qf(spark, d, s=s), s)
 
 
 @query("cqf_unique_index", f"WITH {qf_sql('true', 'a')} SELECT hash, value, count, hash >> 8 AS quotient, (row_number() OVER (PARTITION BY hash >> 8 ORDER BY hash, value) - 1)::INT AS rank FROM a")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return quotient.unique_index(_qf(spark, d), CQF)
+    s = _cqf(spark, d)
+    return quotient.unique_index(_qf(spark, d, s=s), s)
 
 
-@query("cqf_iterate", f"WITH {qf_sql('true', 'a')} SELECT hash, value, count FROM a WHERE hash >= 300000 ORDER BY hash, value")
+@query("cqf_iterate", f"WITH {qf_sql('true', 'a')} SELECT hash, value, count FROM a WHERE hash >= 1::BIGINT << ({QBITS} + 7) ORDER BY hash, value")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return quotient.from_position(_qf(spark, d), 300000)
+    s = _cqf(spark, d)
+    return quotient.from_position(_qf(spark, d, s=s), 1 << (s.key_bits - 1))
 
 
-@query("cqf_stats", f"WITH {qf_sql('true', 'a')} SELECT count(*) AS distinct_pairs, sum(count)::BIGINT AS sum_of_counts, 4096::BIGINT AS slots, 20::BIGINT AS key_bits, 0::BIGINT AS value_bits, 8::BIGINT AS remainder_bits, {CQF.bytes}::BIGINT AS bytes, 'default' AS hash_mode, 0::BIGINT AS seed, count(*)::DOUBLE / 4096 AS load, CASE WHEN count(*) / 4096 > 0.95 THEN -1 ELSE 0 END::INT AS status FROM a")
+@query(
+    "cqf_stats",
+    f"""WITH {qf_sql('true', 'a')}, z AS (SELECT {QBITS} AS q), t AS (SELECT count(*) AS pairs, sum(count)::BIGINT AS total FROM a)
+SELECT pairs AS distinct_pairs, coalesce(total, 0) AS sum_of_counts, 1::BIGINT << q AS slots, (q + 8)::BIGINT AS key_bits, 0::BIGINT AS value_bits, 8::BIGINT AS remainder_bits, floor((1::BIGINT << q) * 10.125 / 8)::BIGINT AS bytes,
+'default' AS hash_mode, 0::BIGINT AS seed, pairs::DOUBLE / (1::BIGINT << q) AS load, CASE WHEN pairs::DOUBLE / (1::BIGINT << q) > 0.95 THEN -1 ELSE 0 END::INT AS status FROM t, z""",
+)
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return quotient.stats(_qf(spark, d), CQF)
+    s = _cqf(spark, d)
+    return quotient.stats(_qf(spark, d, s=s), s)
 
 
 @query("cqf_inner_product", f"WITH {AB} SELECT coalesce(sum(a.count * b.count), 0)::BIGINT AS inner_product FROM a JOIN b USING (hash, value)")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return quotient.inner_product(_qf(spark, d, A), _qf(spark, d, B))
+    return quotient.inner_product(*_qfs(spark, d))
 
 
 @query("cqf_magnitude", f"WITH {qf_sql('true', 'a')} SELECT sqrt(sum(count * count)::DOUBLE) AS magnitude FROM a")
@@ -433,14 +463,15 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return quotient.magnitude(_qf(spark, d))
 
 
-@query("cqf_intersect", f"WITH {AB} SELECT hash, value, count FROM a SEMI JOIN b USING (hash, value)")
+@query("cqf_intersect", f"WITH {AB} SELECT hash, value, count FROM b SEMI JOIN a USING (hash, value)")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return quotient.intersect(_qf(spark, d, A), _qf(spark, d, B))
+    return quotient.intersect(*_qfs(spark, d))
 
 
-@query("cqf_resize", f"WITH {qf_sql('true', 'a')} SELECT hash, value, count, 8192::BIGINT AS slots FROM a")
+@query("cqf_resize", f"WITH {qf_sql('true', 'a')} SELECT hash, value, count, 1::BIGINT << ({QBITS} + 1) AS slots FROM a")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    f, s = quotient.resize(_qf(spark, d), CQF, 13)
+    s = _cqf(spark, d)
+    f, s = quotient.resize(_qf(spark, d, s=s), s, s.quotient_bits + 1)
     return f.withColumn("slots", F.lit(s.slots).cast("long"))
 
 
@@ -686,15 +717,19 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 # --- streams -------------------------------------------------------------------------------
 
-_users = H.sql_hashes("SELECT user_id AS key, event_id FROM events", 0, "u")
+_users = H.sql_hashes("SELECT user_id AS key, event_id, floor(epoch(ts) / 86400)::BIGINT AS day FROM events", 0, "u")
+_n = "(SELECT greatest(count(DISTINCT user_id), 1) FROM events)"
+_block = f"(((h >> 32)::UHUGEINT * greatest({_n} // 24, 1)::UHUGEINT) >> 32)::BIGINT AS block"
+_words = ", ".join(f"bit_or({_bit(f'((h & {M}) * {salt}::UBIGINT & {M}) >> 27')}) AS w{i}" for i, salt in enumerate(bloom.SALTS))
+_out = ", ".join(f"{H.sql_i64(f'w{i}')} AS w{i}" for i in range(8))
 
 
-@query("stream_counting", f"WITH {_users}, x AS (SELECT (((h >> 32) + (h & {M}) * i::UBIGINT) & {M}) AS x FROM u, range({S.bloom_probes(10)}) AS r(i)) SELECT {H.sql_reduce32('x', S.counting_words(streams.USERS))} * 16 + (x & 15)::BIGINT AS pos, count(*) AS count FROM x GROUP BY 1")
+@query("stream_counting", f"WITH {_users}, x AS (SELECT (((h >> 32) + (h & {M}) * i::UBIGINT) & {M}) AS x FROM u, range({S.bloom_probes(10)}) AS r(i)) SELECT {H.sql_reduce32('x', f"greatest(40 * {_n} // 64, 1)")} * 16 + (x & 15)::BIGINT AS pos, count(*) AS count FROM x GROUP BY 1")
 def _(spark: SparkSession, d: str) -> DataFrame:
     return streams.counting_of_users(spark, d)
 
 
-@query("stream_bloom", f"WITH {_users}, f AS (SELECT (((h >> 32)::UHUGEINT * {S.blocked_buckets(streams.USERS)}) >> 32)::BIGINT AS block, " + ", ".join(f"bit_or({_bit(f'((h & {M}) * {salt}::UBIGINT & {M}) >> 27')}) AS w{i}" for i, salt in enumerate(bloom.SALTS)) + " FROM u GROUP BY 1) SELECT block, " + ", ".join(f"{H.sql_i64(f'w{i}')} AS w{i}" for i in range(8)) + " FROM f")
+@query("stream_bloom", f"WITH {_users}, f AS (SELECT {_block}, {_words} FROM u GROUP BY block) SELECT block, {_out} FROM f")
 def _(spark: SparkSession, d: str) -> DataFrame:
     return streams.bloom_of_users(spark, d)
 
@@ -704,6 +739,9 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return streams.first_seen_users(spark, d)
 
 
-@query("stream_windows")  # which windows a watermark closes depends on the batches, so there is no SQL
+@query(
+    "stream_windows",  # a day is closed when the last event is an hour past its end
+    f"WITH {_users}, f AS (SELECT day, {_block}, {_words} FROM u GROUP BY ALL) SELECT day, block, {_out} FROM f WHERE (day + 1) * 86400000 <= (SELECT max(epoch_ms(ts)) - 3600000 FROM events)",
+)
 def _(spark: SparkSession, d: str) -> DataFrame:
     return streams.daily_windows(spark, d)

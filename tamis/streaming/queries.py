@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -11,8 +13,10 @@ from pyspark.sql import functions as F
 from tamis.operators import bloom, counting
 from tamis.streaming import maintain
 
-#: Keys that the maintained filters are sized for.
-USERS = 20_000
+
+def _users(spark: SparkSession, sf_dir: str) -> int:
+    """Keys that the maintained filters are sized for."""
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id").dropna().distinct().count()
 
 
 def _scratch(spark: SparkSession) -> str:
@@ -22,7 +26,9 @@ def _scratch(spark: SparkSession) -> str:
         return f"{shared.rstrip('/')}/tamis-stream-{uuid.uuid4().hex}"
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return f"file://{tempfile.mkdtemp(prefix='tamis-stream-')}"
+    own = tempfile.mkdtemp(prefix="tamis-stream-")
+    atexit.register(shutil.rmtree, own, ignore_errors=True)
+    return f"file://{own}"
 
 
 def _batches(spark: SparkSession, sf_dir: str, work: str, parts: int = 3) -> DataFrame:
@@ -39,13 +45,13 @@ def _finish(writer) -> None:
 
 
 def counting_of_users(spark: SparkSession, sf_dir: str) -> DataFrame:
-    work, s = _scratch(spark), counting.spec("counting", USERS)
+    work, s = _scratch(spark), counting.spec("counting", _users(spark, sf_dir))
     _finish(maintain.maintain_counting(_batches(spark, sf_dir, work), "user_id", s, f"{work}/filter", f"{work}/checkpoint"))
     return maintain.current(spark, f"{work}/filter")
 
 
 def bloom_of_users(spark: SparkSession, sf_dir: str) -> DataFrame:
-    work, s = _scratch(spark), bloom.spec("block32", USERS)
+    work, s = _scratch(spark), bloom.spec("block32", _users(spark, sf_dir))
     _finish(maintain.maintain_bloom(_batches(spark, sf_dir, work), "user_id", s, f"{work}/filter", f"{work}/checkpoint"))
     return maintain.current(spark, f"{work}/filter")
 
@@ -58,9 +64,24 @@ def first_seen_users(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{work}/out").groupBy("user_id").agg(F.count("*").alias("events"))
 
 
-def daily_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many days' filters were closed by the watermark."""
+def daily_windows(spark: SparkSession, sf_dir: str, parts: int = 3) -> DataFrame:
+    """The filters of the days (since 1970) that the watermark closed: (day, block, words).
+
+    The events come in spans of time, one after the other, so none is late."""
     work = _scratch(spark)
-    out = maintain.windowed_bloom(_batches(spark, sf_dir, work), "ts", "user_id", bloom.spec("block32", USERS), "1 day", "1 hour")
-    _finish(out.writeStream.format("parquet").outputMode("append").option("path", f"{work}/out").option("checkpointLocation", f"{work}/checkpoint"))
-    return spark.read.parquet(f"{work}/out").agg(F.countDistinct("window").alias("windows"))
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "ts")
+    # the clock's time as an instant in UTC, whatever the session's zone
+    second = F.timestamp_diff("SECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col("ts"))
+    micros = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col("ts"))
+    events = events.select("user_id", F.timestamp_micros(micros).alias("ts"), second.alias("second"))
+    first, last = events.agg(F.min("second"), F.max("second")).first()
+    if first is None:
+        first = last = 0
+    span = F.least(F.floor((F.col("second") - first) * parts / (last - first + 1)), F.lit(parts - 1))
+    s, schema = bloom.spec("block32", _users(spark, sf_dir)), events.drop("second").schema
+    for part in range(parts):
+        events.where(span == part).drop("second").write.mode("append").parquet(f"{work}/in")
+        out = maintain.windowed_bloom(spark.readStream.schema(schema).parquet(f"{work}/in"), "ts", "user_id", s, "1 day", "1 hour")
+        _finish(out.writeStream.format("parquet").outputMode("append").option("path", f"{work}/out").option("checkpointLocation", f"{work}/checkpoint"))
+    day = F.floor(F.unix_seconds("window.start") / 86400).cast("long").alias("day")
+    return spark.read.schema(out.schema).parquet(f"{work}/out").select(day, "block", *s.words)
