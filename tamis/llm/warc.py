@@ -34,8 +34,8 @@ SEGMENT_BYTES = 8192
 CHUNK_BYTES = 4096
 #: Payloads under this length are never revisits.
 REVISIT_BYTES = 1000
-#: Pages in a file, at most; a reader holds a file in memory.
-PAGES_PER_FILE = 4096
+#: Records in a file, at most, and so a file's bytes: no record's block is longer than a segment. A reader holds a file in memory.
+RECORDS_PER_FILE = 8192
 #: Types of records whose block is an HTTP message; the block of others is the payload.
 HTTP = ("response", "revisit", "request")
 DATE = "2024-01-01T00:00:00Z"
@@ -129,13 +129,13 @@ def _number(headers: dict[str, str], name: str) -> int | None:
     return int(headers[name]) if name in headers else None
 
 
-def write(pages: DataFrame, path: str, segment_bytes: int = SEGMENT_BYTES, chunk_bytes: int = CHUNK_BYTES, pages_per_file: int = PAGES_PER_FILE) -> None:
+def write(pages: DataFrame, path: str, segment_bytes: int = SEGMENT_BYTES, chunk_bytes: int = CHUNK_BYTES, records_per_file: int = RECORDS_PER_FILE) -> None:
     """Writes all rows of ``pages`` (page_id, url, html) as gzipped archives under ``path``.
 
     A null html is an empty payload. Of the rows with one payload of ``REVISIT_BYTES`` or
     more, those with the largest page_id are responses (repeated rows and all); the others
     revisit it. A row with a null page_id is a response. Other columns are ignored; an
-    empty table writes no record.
+    empty table writes no record. A page's segments may stand in two files.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8").alias("payload"))
     keyed = rows.select("*", F.sha1("payload").alias("digest"), F.octet_length("payload").alias("bytes"))
@@ -146,10 +146,15 @@ def write(pages: DataFrame, path: str, segment_bytes: int = SEGMENT_BYTES, chunk
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = zip(b.column(4).to_pylist(), b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array([b"\r\n\r\n".join(page_records(*row, segment_bytes, chunk_bytes)) for row in rows], pa.binary())], ["value"])
-
-    arrow_map(source, run, "value binary").select(F.col("value").cast("string")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", pages_per_file).text(path)
+            records: list[bytes] = []
+            for number, page_id, url, payload, target in zip(*(b.column(k) for k in (4, 0, 1, 2, 3)), strict=True):
+                records += page_records(number.as_py(), page_id.as_py(), url.as_py(), payload.as_py(), target.as_py(), segment_bytes, chunk_bytes)
+                if len(records) >= RECORDS_PER_FILE:
+                    yield pa.RecordBatch.from_arrays([pa.array(records, pa.binary())], ["value"])
+                    records = []
+            yield pa.RecordBatch.from_arrays([pa.array(records, pa.binary())], ["value"])
+
+    arrow_map(source, run, "value binary").select(F.col("value").cast("string")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
 
 
 def _assembled(segments: list[tuple[int, int | None, bytes]]) -> bytes | None:

@@ -49,6 +49,10 @@ def test_pages(spark, tmp_path):
     assert by[4][0].payload == ("é" * 9000).encode() and by[3][0].payload_bytes == 0
     assert all(r.payload_digest == hashlib.sha1((h or "").encode()).hexdigest() for i, _, h, _ in rows for r in by[i])
     warc.write(pages.limit(0), f"file://{tmp_path}/b")
+    warc.write(pages, f"file://{tmp_path}/c", segment_bytes=700, chunk_bytes=333, records_per_file=2)
+    assert all(len(list(warc.parse(gzip.decompress(f.read_bytes())))) <= 2 for f in (tmp_path / "c").glob("*.gz"))
+    key = lambda r: (str(r.page_id), r.payload_digest, r.type, str(r.refers_to))
+    assert sorted(map(key, warc.read(spark, f"file://{tmp_path}/c").collect())) == sorted(map(key, got))
     assert warc.read(spark, f"file://{tmp_path}/b").count() == 0
 
 
