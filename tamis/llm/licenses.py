@@ -16,6 +16,8 @@ each document, template and diagonal.  Keys hold the document, so no common line
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -50,6 +52,7 @@ K = 3
 GAP = 3
 MIN_COVERAGE = 0.5
 MIN_WORDS = 0.6
+TEMPLATE = re.compile("[a-z0-9]+( [a-z0-9]+)*")
 #: Everything in ASCII but digits and small letters; texts are in lower case by then.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -66,7 +69,13 @@ def _gram(hashes: Column, i: Column) -> Column:
 
 
 def templates(spark: SparkSession, base: tuple = BASE, more: tuple = TEMPLATES) -> DataFrame:
-    """(gram, tpos, tid, base, label, twords, grams): a row for each position of each template."""
+    """(gram, tpos, tid, base, label, twords, grams): a row for each position of each template.
+
+    Templates have 3 to 66 words in small letters and digits, with single spaces: a mask has 64 positions.
+    ValueError for others; a longer notice is given as several templates of one label."""
+    for _, text in (*base, *more):
+        if not TEMPLATE.fullmatch(text) or not K <= len(text.split(" ")) < 64 + K:
+            raise ValueError(f"no template: {text!r}")
     rows = ", ".join(f"({i}, {i < len(base)}, '{label}', split('{text}', ' '))" for i, (label, text) in enumerate((*base, *more)))
     all_ = spark.sql(f"SELECT * FROM VALUES {rows} AS t(tid, base, label, twords)")
     hashed = all_.withColumn("th", F.transform("twords", lambda x: F.xxhash64(x)))

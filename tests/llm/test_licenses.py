@@ -1,6 +1,7 @@
 import re
 
 import duckdb
+import pytest
 
 from tamis.llm import licenses
 
@@ -35,6 +36,15 @@ def test_method_finds_altered_notices(spark):
     assert got[2].labels == "" and got[2].score == 0
 
 
+def test_templates_of_any_fitting_length(spark):
+    longest = " ".join(f"w{i}" for i in range(66))
+    rows = licenses.templates(spark, (), (("a", longest), ("b", "x y z"))).groupBy("label").count().collect()
+    assert {r.label: r["count"] for r in rows} == {"a": 64, "b": 1}
+    for text in (longest + " w", "x y", "", "It's so so", "x  y z"):
+        with pytest.raises(ValueError):
+            licenses.templates(spark, (), (("a", text),))
+
+
 def test_no_rows(no_docs):
     assert licenses.scan(no_docs).count() == 0
 
