@@ -18,7 +18,8 @@ def prefiltered_anti_join(df: DataFrame, small: DataFrame, key: str, small_key:
     """Exactly ``left_anti``, in one pass: rows that are surely absent, and null keys, meet no key, and are spread where sides are exchanged."""
     keys = small.select(F.col(small_key).alias("__small")).where("__small is not null").distinct().withColumn("__zero", F.lit(0))
     maybe = F.coalesce("__maybe", F.lit(False))
-    spread = F.pmod(F.hash(key) + F.spark_partition_id() * 31, F.lit(1 << 16)) + 1
+    # the hash is reduced before anything is added: it may be the largest integer
+    spread = F.pmod(F.pmod(F.hash(key), F.lit(1 << 16)) + F.spark_partition_id() * 31, F.lit(1 << 16)) + 1
     marked = f.might_contain(df, key, "__maybe").withColumn("__part", F.when(maybe, 0).otherwise(spread).cast("int"))
     return marked.join(keys, (F.col(key) == F.col("__small")) & (F.col("__part") == F.col("__zero")), "left_anti").drop("__maybe", "__part")
 

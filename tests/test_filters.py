@@ -201,3 +201,10 @@ def test_registered_kinds_are_built(keys):
         assert catalog.build("mine", keys, "key").semi_join(keys, "key").count() == 3000
     finally:
         del catalog.CUSTOM["mine"]
+
+
+def test_anti_join_of_a_key_with_the_largest_hash(spark):
+    rows = spark.range(0, 8, 1, 8).select(F.lit(539155416).cast("long").alias("key"))  # three below the largest integer
+    assert rows.select(F.max(F.hash("key"))).first()[0] == 2**31 - 4
+    small = spark.createDataFrame([(1,)], "k long")
+    assert joins.prefiltered_anti_join(rows, small, "key", "k", catalog.ALGORITHMS[51].build(small, "k")).count() == 8
