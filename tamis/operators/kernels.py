@@ -51,6 +51,14 @@ def uint_for(bits: int) -> type:
     return np.uint8 if bits <= 8 else np.uint16 if bits <= 16 else np.uint32
 
 
+def spare_places(slots: int) -> int:
+    """Keys beyond a table's own places that it may still take by ``add``.
+
+    A build tries other seeds, but a table that has keys is of its seed: without a spare, one key of unlucky places
+    would be refused by a table that has room for it."""
+    return 8 + slots // 512
+
+
 def _fingerprint(h: np.ndarray, bits: int) -> np.ndarray:
     return (h ^ h >> U(32)) & U((1 << bits) - 1)
 
@@ -465,9 +473,15 @@ def _morton_other(b: int, t: int, total: int) -> int:
     return (b + off if b % 2 == 0 else b - off) % total
 
 
-def _morton_insert(rows: list[list[int]], held: list[int], over: np.ndarray, bucket: np.ndarray, tag: np.ndarray, layout: tuple[int, int, int, int]) -> None:
+def _morton_spare(b: np.ndarray, t: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """A tag and its buckets, the same from either of them."""
+    return np.minimum(b, other).astype(np.int64) << 32 | t
+
+
+def _morton_insert(rows: list[list[int]], held: list[int], over: np.ndarray, bucket: np.ndarray, tag: np.ndarray, layout: tuple[int, int, int, int], room: int = 0) -> list[int]:
+    """Fills the rows; up to ``room`` tags that found no place are returned."""
     slots, _, most, per = layout
-    total, draw = len(rows), random.Random(len(rows))
+    total, draw, spare = len(rows), random.Random(len(rows)), []
 
     def place(b: int, t: int) -> bool:
         if len(rows[b]) < slots and held[b // per] < most:
@@ -498,7 +512,10 @@ def _morton_insert(rows: list[list[int]], held: list[int], over: np.ndarray, buc
             k = draw.randrange(len(row))
             row[k], t = t, row[k]
         else:
-            raise BuildFailed
+            if len(spare) >= room:
+                raise BuildFailed
+            spare.append(min(b, _morton_other(b, t, total)) << 32 | t)
+    return spare
 
 
 def build_morton(h: np.ndarray, preset: str = "3_8", capacity: int | None = None) -> bytes:
@@ -510,11 +527,11 @@ def build_morton(h: np.ndarray, preset: str = "3_8", capacity: int | None = None
     return _morton_store({"preset": preset}, rows, over, layout)
 
 
-def _morton_store(meta: dict, rows: list[list[int]], over: np.ndarray, layout: tuple[int, int, int, int]) -> bytes:
+def _morton_store(meta: dict, rows: list[list[int]], over: np.ndarray, layout: tuple[int, int, int, int], spare: list[int] | None = None) -> bytes:
     table = np.zeros((len(rows), layout[0]), uint_for(min(layout[1], 32)))
     for b, row in enumerate(rows):
         table[b, : len(row)] = sorted(row)
-    return store(meta, table=table, over=over)
+    return store(meta, table=table, over=over, **({"spare": np.array(sorted(spare), np.int64)} if spare else {}))
 
 
 def _morton_home(meta: dict, a: dict, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -529,7 +546,8 @@ def in_morton(payload: bytes, h: np.ndarray) -> np.ndarray:
     per = morton_layout(meta["preset"])[3]
     b, t, other = _morton_home(meta, a, h)
     first = (a["table"][b] == t[:, None]).any(1)
-    return first | (a["over"][b // per, b % 16] & (a["table"][other] == t[:, None]).any(1))
+    found = first | (a["over"][b // per, b % 16] & (a["table"][other] == t[:, None]).any(1))
+    return found | np.isin(_morton_spare(b, t, other), a["spare"]) if "spare" in a else found
 
 
 def add_morton(payload: bytes, h: np.ndarray) -> bytes:
@@ -538,19 +556,24 @@ def add_morton(payload: bytes, h: np.ndarray) -> bytes:
     rows, over = [[t for t in r if t] for r in a["table"].tolist()], a["over"].copy()
     held = [sum(map(len, rows[i : i + layout[3]])) for i in range(0, len(rows), layout[3])]
     b, t, _ = _morton_home(meta, a, h)
-    _morton_insert(rows, held, over, b, t, layout)
-    return _morton_store(meta, rows, over, layout)
+    spare = a["spare"].tolist() if "spare" in a else []
+    spare += _morton_insert(rows, held, over, b, t, layout, spare_places(len(rows) * layout[0]) - len(spare))
+    return _morton_store(meta, rows, over, layout, spare)
 
 
 def remove_morton(payload: bytes, h: np.ndarray) -> bytes:
     meta, a = load(payload)
     rows = [[t for t in r if t] for r in a["table"].tolist()]
+    spare = a["spare"].tolist() if "spare" in a else []
     for b, t, other in zip(*(x.tolist() for x in _morton_home(meta, a, h)), strict=True):
         for at in (b, other):
             if t in rows[at]:
                 rows[at].remove(t)
                 break
-    return _morton_store(meta, rows, a["over"], morton_layout(meta["preset"]))
+        else:
+            if (code := min(b, other) << 32 | t) in spare:
+                spare.remove(code)
+    return _morton_store(meta, rows, a["over"], morton_layout(meta["preset"]), spare)
 
 
 #: Tags of a block, and the small buckets that a tag can belong to.
@@ -644,7 +667,7 @@ def _ribbon_bytes(payload: bytes) -> int:
 
 def _morton_bytes(payload: bytes) -> int:
     meta, a = load(payload)
-    return 64 * (len(a["table"]) // morton_layout(meta["preset"])[3])
+    return 64 * (len(a["table"]) // morton_layout(meta["preset"])[3]) + (a["spare"].nbytes if "spare" in a else 0)
 
 
 @dataclass(frozen=True)

@@ -64,3 +64,14 @@ def test_presets_fit_a_block():
     for preset in K.S.MORTON_PRESETS:
         slots, bits, held, buckets = K.morton_layout(preset)
         assert held * bits + buckets * slots.bit_length() + 16 <= 512 and buckets * slots >= 2 * held
+
+
+def test_morton_of_unlucky_buckets_takes_what_it_has_room_for():
+    h = H.np_murmur64(np.arange(10_000) + 174 * 10**7, 251)  # one tag's walk ends without a place
+    payload = K.add_morton(K.build_morton(np.sort(h[:2000]), capacity=len(h)), np.sort(h[2000:]))
+    assert K.in_morton(payload, h).all() and len(K.load(payload)[1]["spare"]) == 1
+    again = K.add_morton(K.remove_morton(payload, np.sort(h[5000:])), np.sort(h[5000:]))
+    assert K.in_morton(again, h).all()
+    assert not K.in_morton(K.remove_morton(payload, h), h).any()
+    with pytest.raises(K.BuildFailed):
+        K.add_morton(payload, H.np_murmur64(np.arange(5000), 1))  # and not more than that
