@@ -51,12 +51,12 @@ def uint_for(bits: int) -> type:
     return np.uint8 if bits <= 8 else np.uint16 if bits <= 16 else np.uint32
 
 
-def spare_places(slots: int) -> int:
+def spare_places(slots: int, share: int = 512) -> int:
     """Keys beyond a table's own places that it may still take by ``add``.
 
     A build tries other seeds, but a table that has keys is of its seed: without a spare, one key of unlucky places
     would be refused by a table that has room for it."""
-    return 8 + slots // 512
+    return 32 + slots // share
 
 
 def _fingerprint(h: np.ndarray, bits: int) -> np.ndarray:
@@ -600,48 +600,63 @@ def build_two_choice(h: np.ndarray, vector: bool = False, shortcut: bool = True,
     n = max(capacity or len(h), 1)
     blocks = S.vqf_blocks(n) // 2 * 2 + 2 if vector else S.two_choice_bins(n)
     meta = {"vector": vector, "shortcut": shortcut}
-    return _two_insert(meta, np.full((blocks, PLACES), EMPTY, np.uint16), h)
+    return _two_insert(meta, np.full((blocks, PLACES), EMPTY, np.uint16), h, [])
 
 
-def _two_insert(meta: dict, table: np.ndarray, h: np.ndarray) -> bytes:
-    table, blocks = table.copy(), len(table)
+def _two_store(meta: dict, table: np.ndarray, spare: list[int]) -> bytes:
+    table.sort(axis=1)
+    return store(meta, table=table, **({"spare": np.array(sorted(spare), np.uint64)} if spare else {}))
+
+
+def _two_insert(meta: dict, table: np.ndarray, h: np.ndarray, spare: list[int], room: int = 0) -> bytes:
+    """Up to ``room`` keys whose bins are both full go to the spare, as hashes."""
+    table, blocks, places = table.copy(), len(table), []
     first, second, code = _two_blocks(h, blocks, not meta["vector"])
-    used, chosen, shortcut = (table != EMPTY).sum(1).tolist(), [], meta["shortcut"] and not meta["vector"]
-    for a, b in zip(first.tolist(), second.tolist(), strict=True):
+    used, spare, shortcut = (table != EMPTY).sum(1).tolist(), list(spare), meta["shortcut"] and not meta["vector"]
+    for a, b, c, x in zip(first.tolist(), second.tolist(), code.tolist(), h.tolist(), strict=True):
         if not (shortcut and used[a] < SHORTCUT) and used[b] < used[a]:
             a = b
-        if used[a] >= PLACES:
+        if used[a] < PLACES:
+            used[a] += 1
+            places.append((a, c))
+        elif len(spare) < room:
+            spare.append(x)
+        else:
             raise BuildFailed
-        used[a] += 1
-        chosen.append(a)
-    for a, c in zip(chosen, code.tolist(), strict=True):
+    for a, c in places:
         table[a, int(np.argmax(table[a] == EMPTY))] = c
-    table.sort(axis=1)
-    return store(meta, table=table)
+    return _two_store(meta, table, spare)
+
+
+def _two_spare(a: dict) -> list[int]:
+    return a["spare"].tolist() if "spare" in a else []
 
 
 def in_two_choice(payload: bytes, h: np.ndarray) -> np.ndarray:
     meta, a = load(payload)
     first, second, code = _two_blocks(h, len(a["table"]), not meta["vector"])
-    return (a["table"][first] == code[:, None]).any(1) | (a["table"][second] == code[:, None]).any(1)
+    found = (a["table"][first] == code[:, None]).any(1) | (a["table"][second] == code[:, None]).any(1)
+    return found | np.isin(h, a["spare"]) if "spare" in a else found
 
 
 def add_two_choice(payload: bytes, h: np.ndarray) -> bytes:
     meta, a = load(payload)
-    return _two_insert(meta, a["table"], h)
+    return _two_insert(meta, a["table"], h, _two_spare(a), spare_places(a["table"].size, 128 if meta["vector"] else 512))
 
 
 def remove_two_choice(payload: bytes, h: np.ndarray) -> bytes:
     meta, a = load(payload)
-    table = a["table"].copy()
-    for x, y, c in zip(*_two_blocks(h, len(table), not meta["vector"]), strict=True):
+    table, spare = a["table"].copy(), _two_spare(a)
+    for x, y, c, own in zip(*_two_blocks(h, len(table), not meta["vector"]), h.tolist(), strict=True):
+        if spare and own in spare:
+            spare.remove(own)
+            continue
         for b in (x, y):
             at = np.flatnonzero(table[b] == c)
             if len(at):
                 table[b, at[0]] = EMPTY
                 break
-    table.sort(axis=1)
-    return store(meta, table=table)
+    return _two_store(meta, table, spare)
 
 
 # --- the table of kernels ------------------------------------------------------------------
@@ -670,6 +685,11 @@ def _morton_bytes(payload: bytes) -> int:
     return 64 * (len(a["table"]) // morton_layout(meta["preset"])[3]) + (a["spare"].nbytes if "spare" in a else 0)
 
 
+def _two_bytes(payload: bytes) -> int:
+    a = load(payload)[1]
+    return 64 * len(a["table"]) + (a["spare"].nbytes if "spare" in a else 0)
+
+
 @dataclass(frozen=True)
 class Kernel:
     build: Callable[..., bytes]
@@ -686,7 +706,7 @@ KERNELS = {
     "cuckoo": Kernel(build_cuckoo, in_cuckoo, _cuckoo_bytes, add_cuckoo, remove_cuckoo),
     "cuckoo_fuse": Kernel(build_cuckoo_fuse, in_cuckoo_fuse, add=add_cuckoo_fuse, remove=remove_cuckoo_fuse),
     "morton": Kernel(build_morton, in_morton, _morton_bytes, add_morton, remove_morton),
-    "two_choice": Kernel(build_two_choice, in_two_choice, lambda p: 64 * len(load(p)[1]["table"]), add_two_choice, remove_two_choice),
+    "two_choice": Kernel(build_two_choice, in_two_choice, _two_bytes, add_two_choice, remove_two_choice),
 }
 
 

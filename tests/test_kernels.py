@@ -75,3 +75,20 @@ def test_morton_of_unlucky_buckets_takes_what_it_has_room_for():
     assert not K.in_morton(K.remove_morton(payload, h), h).any()
     with pytest.raises(K.BuildFailed):
         K.add_morton(payload, H.np_murmur64(np.arange(5000), 1))  # and not more than that
+
+
+@pytest.mark.parametrize("vector", [False, True])
+def test_two_full_bins_do_not_end_an_add_with_room(vector):
+    spared = 0
+    for seed in range(3):
+        h = H.np_murmur64(np.arange(65_536), seed)
+        empty = K.build_two_choice(h[:0], vector=vector, capacity=len(h))
+        payload = K.add_two_choice(K.add_two_choice(empty, np.sort(h[:13_000])), np.sort(h[13_000:]))
+        spare = K.load(payload)[1].get("spare", [])
+        spared += len(spare)
+        assert K.in_two_choice(payload, h).all() and K.KERNELS["two_choice"].bytes(payload) == K.KERNELS["two_choice"].bytes(empty) + 8 * len(spare)
+    assert spared > 0
+    less = K.remove_two_choice(payload, np.asarray(spare, np.uint64))
+    assert "spare" not in K.load(less)[1] and K.in_two_choice(less, h[~np.isin(h, spare)]).all()
+    with pytest.raises(K.BuildFailed):
+        K.add_two_choice(payload, H.np_murmur64(np.arange(65_536, 80_000), seed))
