@@ -224,18 +224,45 @@ class Band:
         return out
 
 
-def build_ribbon(h: np.ndarray, columns: float = 8, variant: str = "homogeneous", min_pad: float = 0.0, smash: bool = False, values: np.ndarray | None = None) -> bytes:
-    """variant: homogeneous, standard or balanced; with ``values`` a static function of ``columns`` bits."""
+#: Share by which a homogeneous ribbon's rate may exceed that of its columns.
+COLLAPSED = 0.001
+
+
+def homogeneous_rate(solution: np.ndarray, columns: float) -> float:
+    """Over what its columns give, the rate of a homogeneous ribbon by the rank of each start's slots.
+
+    Where starts crowd, equations leave no slot free for long; the slots there run out of other solutions
+    than zero, which every key with such a start agrees with."""
+    starts, rows = len(solution) - WIDTH + 1, []
+    for j in range(math.ceil(columns)):
+        word, width = (solution.astype(np.uint64) >> U(j)) & U(1), 1
+        while width < WIDTH:  # the column's bits of the slots from each start on
+            word, width = word[:-width] | word[width:] << U(width), 2 * width
+        rows.append(word)
+    rank = np.zeros(starts, np.int64)
+    for j, row in enumerate(rows):
+        lowest = row & (~row + U(1))
+        rank += row != 0
+        for k in range(j + 1, len(rows)):
+            rows[k] = np.where(rows[k] & lowest != 0, rows[k] ^ row, rows[k])
+    wanted = _columns(columns, len(solution), np.arange(starts))
+    return float((2.0 ** -np.minimum(rank, wanted)).mean() / (2.0**-wanted).mean()) - 1
+
+
+def build_ribbon(h: np.ndarray, columns: float = 8, variant: str = "homogeneous", min_pad: float = 0.0, smash: bool = False, values: np.ndarray | None = None, room: float = 1.0) -> bytes:
+    """variant: homogeneous (``room``: times its usual slots), standard or balanced; with ``values`` a static function of ``columns`` bits."""
     whole = math.ceil(columns)
     if variant == "balanced":
         return _build_bumped(h, columns)
-    slots = S.homog_ribbon_slots(len(h), columns) if variant == "homogeneous" else S.standard_ribbon_slots(len(h), WIDTH, min_pad)
+    slots = S.homog_ribbon_slots(math.ceil(len(h) * room), columns) if variant == "homogeneous" else S.standard_ribbon_slots(len(h), WIDTH, min_pad)
     start, coefficients, results = _ribbon_rows(h, slots, smash)
     results = np.zeros(len(h), np.uint64) if variant == "homogeneous" else values.astype(np.uint64) if values is not None else _mask(results, _columns(columns, slots, start))
     band = Band(slots)
     for i, c, r in zip(start.tolist(), coefficients.tolist(), results.tolist(), strict=True):
         band.add(i, c, r)
     solution = band.solve(whole, random.Random(slots) if variant == "homogeneous" else None)
+    if variant == "homogeneous" and homogeneous_rate(solution, columns) > COLLAPSED:
+        raise BuildFailed
     return store({"columns": columns, "variant": variant, "smash": smash, "static": values is not None}, solution=solution.astype(uint_for(whole)))
 
 
@@ -722,7 +749,10 @@ def build(kind: str, keys: np.ndarray, seed: int, params: dict, **more: np.ndarr
         order = np.argsort(h)
         try:
             # a table that seeds alone do not fit gets a hundredth more room with each attempt
-            room = {"capacity": int(max(len(keys), params.get("capacity") or 0) * (1 + 0.01 * (attempt - 9)))} if kind in GROWS and attempt >= 10 else {}
+            more_room = 1 + 0.01 * max(0, attempt - 9)
+            room = {"capacity": int(max(len(keys), params.get("capacity") or 0) * more_room)} if kind in GROWS and attempt >= 10 else {}
+            if kind == "ribbon" and params.get("variant", "homogeneous") == "homogeneous":
+                room = {"room": more_room}
             return KERNELS[kind].build(h[order], **(params | room), **{k: v[order] for k, v in more.items()}), H.signed(now), attempt + 1
         except BuildFailed:
             continue

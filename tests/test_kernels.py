@@ -92,3 +92,26 @@ def test_two_full_bins_do_not_end_an_add_with_room(vector):
     assert "spare" not in K.load(less)[1] and K.in_two_choice(less, h[~np.isin(h, spare)]).all()
     with pytest.raises(K.BuildFailed):
         K.add_two_choice(payload, H.np_murmur64(np.arange(65_536, 80_000), seed))
+
+
+@pytest.mark.parametrize("columns", [7])
+def test_a_collapsed_ribbon_is_built_again(columns):
+    r = np.random.default_rng(4)  # keys that crowd in one part of the slots
+    keys, absent = r.integers(0, 2**63 - 1, 20_000), r.integers(-(2**63), -1, 200_000)
+    payload, seed, attempts = K.build("ribbon", keys, 0, {"columns": columns, "variant": "homogeneous"})
+    hit, rate = K.in_ribbon(payload, H.np_murmur64(absent, seed)).mean(), 2.0**-columns
+    assert K.in_ribbon(payload, H.np_murmur64(keys, seed)).all()
+    assert abs(hit - rate) < 5 * np.sqrt(rate / len(absent))
+    solution = K.load(payload)[1]["solution"]
+    assert attempts > 1 and K.homogeneous_rate(solution, columns) <= K.COLLAPSED
+    worse = solution.copy()
+    worse[5000:5500] = 0
+    assert K.homogeneous_rate(worse, columns) > 400 / len(solution)
+
+
+@pytest.mark.parametrize("n", [0, 1, 59, 118, 300])
+def test_small_homogeneous_ribbons_keep_their_rate(n):
+    keys, absent = np.arange(n), np.arange(10**6, 10**6 + 100_000)
+    payload, seed, _ = K.build("ribbon", keys, 0, {"columns": 8, "variant": "homogeneous"})
+    assert K.in_ribbon(payload, H.np_murmur64(keys, seed)).all()
+    assert K.in_ribbon(payload, H.np_murmur64(absent, seed)).mean() < 0.0055
