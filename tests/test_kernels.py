@@ -94,7 +94,7 @@ def test_two_full_bins_do_not_end_an_add_with_room(vector):
         K.add_two_choice(payload, H.np_murmur64(np.arange(65_536, 80_000), seed))
 
 
-@pytest.mark.parametrize("columns", [7])
+@pytest.mark.parametrize("columns", [5, 7])
 def test_a_collapsed_ribbon_is_built_again(columns):
     r = np.random.default_rng(4)  # keys that crowd in one part of the slots
     keys, absent = r.integers(0, 2**63 - 1, 20_000), r.integers(-(2**63), -1, 200_000)
