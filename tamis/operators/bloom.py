@@ -36,7 +36,7 @@ GOLDEN32 = 0x9E3779B9
 
 @dataclass(frozen=True)
 class BloomSpec:
-    """kind: classic, simple, block32, block32_pow2, block64, lanes16, bytes16, line, legacy or legacy_line."""
+    """kind: classic, simple, simple_upper, block32, block32_pow2, block64, lanes16, bytes16, line, legacy or legacy_line."""
 
     kind: str
     n: int
@@ -74,7 +74,7 @@ def spec(kind: str, n: int, bits_per_key: int = 10, seed: int = 0) -> BloomSpec:
     n = max(n, 1)
     if kind == "classic":
         return BloomSpec(kind, n, max(1, S.bloom_words(n, bits_per_key)), bits_per_key, S.bloom_probes(bits_per_key), seed)
-    if kind == "simple":
+    if kind in ("simple", "simple_upper"):
         return BloomSpec(kind, n, S.simple_block_words(n), 10, 2, seed)
     if kind == "block32_pow2":
         return BloomSpec(kind, n, 1 << max(1, (n * bits_per_key).bit_length() - 8), bits_per_key, 8, seed)
@@ -107,6 +107,8 @@ def _with_positions(df: DataFrame, s: BloomSpec) -> tuple[DataFrame, list[tuple[
 def _block(h: Column, s: BloomSpec) -> Column:
     if s.kind == "simple":
         return H.fastrange64(H.rotl64(h, 32), s.blocks)
+    if s.kind == "simple_upper":
+        return H.fastrange64(h, s.blocks)
     if s.kind == "block32_pow2":
         return h.bitwiseAND(F.lit(s.blocks - 1).cast("long"))
     if s.kind in ("line", "legacy_line"):
@@ -116,7 +118,7 @@ def _block(h: Column, s: BloomSpec) -> Column:
 
 def _lanes(h: Column, s: BloomSpec) -> list[Column]:
     """Masks of the lanes of a key's block."""
-    if s.kind == "simple":
+    if s.kind in ("simple", "simple_upper"):
         return [_shl(h.bitwiseAND(F.lit(63).cast("long"))).bitwiseOR(_shl(H.ushr(h, 8).bitwiseAND(F.lit(63).cast("long"))))]
     if s.kind in ("line", "legacy_line"):
         x, masks = H.low32(H.ushr(h, 32)), [F.lit(0).cast("long")] * 8

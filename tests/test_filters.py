@@ -208,3 +208,10 @@ def test_anti_join_of_a_key_with_the_largest_hash(spark):
     assert rows.select(F.max(F.hash("key"))).first()[0] == 2**31 - 4
     small = spark.createDataFrame([(1,)], "k long")
     assert joins.prefiltered_anti_join(rows, small, "key", "k", catalog.ALGORITHMS[51].build(small, "k")).count() == 8
+
+
+def test_one_word_filter_keeps_its_rate_at_size(spark):
+    n = 3_000_000  # as its words number over 2^18, words and bits would come from common bits of the hash
+    f = catalog.ALGORITHMS[50].build(spark.range(n).toDF("key"), "key", n)
+    rate = f.might_contain(spark.range(n, n + 500_000).toDF("key"), "key").agg(F.avg(F.col("maybe").cast("int"))).first()[0]
+    assert abs(rate - 0.03677) < 5 * (0.03677 / 500_000) ** 0.5
