@@ -516,6 +516,12 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 # --- every numbered algorithm --------------------------------------------------------------
 
 
+def _with_absent(spark: SparkSession, d: str, keys: DataFrame) -> DataFrame:
+    """(key, added): ``keys``, and the keys ``AWAY`` from orders' that are not among them; once each, as repeats would count a hit many times."""
+    far = order_keys(spark, d).select((F.col("key") + AWAY).alias("key")).distinct().join(keys, "key", "left_anti")
+    return keys.withColumn("added", F.lit(True)).unionByName(far.withColumn("added", F.lit(False)))
+
+
 def _within(rate: float) -> F.Column:
     """Whether the hits among keys not added are within five deviations of the expected rate (and five hits)."""
     hits, probes = F.count_if(~F.col("added") & F.col("maybe")), F.count_if(~F.col("added"))
@@ -527,9 +533,7 @@ def _contract(spark: SparkSession, d: str, number: int) -> DataFrame:
     algorithm, keys = catalog.ALGORITHMS[number], urgent(spark, d)
     f = algorithm.build(keys, "key")
     f.rows = f.rows.persist()
-    far = order_keys(spark, d).select((F.col("key") + AWAY).alias("key"))
-    rows = keys.withColumn("added", F.lit(True)).unionByName(far.withColumn("added", F.lit(False)))
-    found = f.might_contain(rows, "key").agg(
+    found = f.might_contain(_with_absent(spark, d, keys), "key").agg(
         F.count(F.when(F.col("added"), 1)).alias("keys"), F.count(F.when(F.col("added") & F.col("maybe"), 1)).alias("found"), _within(algorithm.expected_rate()).alias("rate_holds")
     )
     if not algorithm.removes:
@@ -593,9 +597,8 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 @query("morton_presets", f"SELECT preset, count(*) AS found, count(*) AS keys, true AS rate_holds FROM ({URGENT}), (SELECT unnest([{', '.join(repr(x) for x in S.MORTON_PRESETS)}]) AS preset) GROUP BY preset")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    keys, far = urgent(spark, d), order_keys(spark, d).select((F.col("key") + AWAY).alias("key"))
-    rows = keys.withColumn("added", F.lit(True)).unionByName(far.withColumn("added", F.lit(False)))
-    made = []
+    keys = urgent(spark, d)
+    rows, made = _with_absent(spark, d, keys), []
     for preset in S.MORTON_PRESETS:
         got = catalog.build("sharded", keys, "key", "morton", preset=preset).might_contain(rows, "key")
         _, bits, most, per = sharded.K.morton_layout(preset)

@@ -75,3 +75,12 @@ def test_entry_hides_no_other_error(monkeypatch):
 def test_keys_of_hashes_are_planned_in_steps(spark, small):
     plan = queries.QUERIES["cqf_build_invertible"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
     assert len(plan) < 20_000
+
+
+@pytest.mark.parametrize(("starts", "repeats"), [((0, queries.AWAY), 1), ((1600,), 100)], ids=["absent keys that are there", "repeated keys"])
+def test_rates_are_of_keys_not_added(spark, tmp_path, starts, repeats):
+    keys = [k for start in starts for k in range(start, start + 200)]
+    orders = spark.createDataFrame([(k, "1-URGENT") for k in keys * repeats], "o_orderkey long, o_orderpriority string")
+    orders.write.parquet(f"{tmp_path}/orders.parquet")
+    n = len(keys) * repeats
+    assert queries.QUERIES["alg1056_homogribbon64_5"](spark, str(tmp_path)).collect() == [(n, n, True)]
